@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chosen_path import near_duplicates
 from .lines import dedup_lines
 from .mixing import mix
+from .passages import repeated_passages
 from .quality import judged
 from .sentencepiece_codec import encode_decode
 
@@ -87,10 +89,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+def op9_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(documents(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "n_removed", spans.alias("spans"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_tokeniser_fertility": op2_tokeniser_fertility,
     "op3_line_winnowing": op3_line_winnowing,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_chosen_path_join": op7_chosen_path_join,
+    "op9_paragraph_bands": op9_paragraph_bands,
 }
 ORACLE_SQL = {"op1_source_mix": OP1, "op3_line_winnowing": OP3}
