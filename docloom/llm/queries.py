@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chosen_path import near_duplicates
+from .html_content import main_text
 from .lines import dedup_lines
 from .mixing import mix
 from .passages import repeated_passages
+from .pii import personal_data
 from .quality import judged
 from .sentencepiece_codec import encode_decode
 
@@ -84,6 +86,14 @@ SELECT a.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE a.clean END AS text, n_
 """
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op5_html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(pages(spark, sf_dir)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(documents(spark, sf_dir), model_file())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -93,6 +103,13 @@ def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("formats", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(k) for k in ("email", "ip", "card", "phone")], F.sha2(digest("formats").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op9_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(documents(spark, sf_dir))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -103,8 +120,10 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_tokeniser_fertility": op2_tokeniser_fertility,
     "op3_line_winnowing": op3_line_winnowing,
+    "op5_html_regions": op5_html_regions,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chosen_path_join": op7_chosen_path_join,
+    "op8_candidate_boosting": op8_candidate_boosting,
     "op9_paragraph_bands": op9_paragraph_bands,
 }
 ORACLE_SQL = {"op1_source_mix": OP1, "op3_line_winnowing": OP3}
