@@ -13,6 +13,7 @@ from .passages import repeated_passages
 from .pii import personal_data
 from .quality import judged
 from .sentencepiece_codec import encode_decode
+from .warc import archive, read_archive
 
 #: Path of the tokenizer's model on every executor; a parameter of the operators.
 MODEL = "piece_bpe_32k.model"
@@ -116,6 +117,11 @@ def op9_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_chars", "n_removed", spans.alias("spans"))
 
 
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = archive(pages(spark, sf_dir))
+    return read_archive(index, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_tokeniser_fertility": op2_tokeniser_fertility,
@@ -125,5 +131,6 @@ QUERIES = {
     "op7_chosen_path_join": op7_chosen_path_join,
     "op8_candidate_boosting": op8_candidate_boosting,
     "op9_paragraph_bands": op9_paragraph_bands,
+    "op10_warc_normaliser": op10_warc_normaliser,
 }
 ORACLE_SQL = {"op1_source_mix": OP1, "op3_line_winnowing": OP3}
