@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chosen_path import near_duplicates
+from .hamming import nearest_codes, sign_code
 from .html_content import main_text
 from .lines import dedup_lines
 from .mixing import mix
@@ -87,6 +88,22 @@ SELECT a.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE a.clean END AS text, n_
 """
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    asked = codes.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return nearest_codes(codes, asked, k=10).withColumnRenamed("id", "vec_id")
+
+
+OP4 = """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS bits FROM embeddings),
+p AS (
+  SELECT q.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(q.bits, b.bits), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance
+  FROM s q JOIN s b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM p)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -126,6 +143,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_tokeniser_fertility": op2_tokeniser_fertility,
     "op3_line_winnowing": op3_line_winnowing,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_html_regions": op5_html_regions,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chosen_path_join": op7_chosen_path_join,
@@ -133,4 +151,4 @@ QUERIES = {
     "op9_paragraph_bands": op9_paragraph_bands,
     "op10_warc_normaliser": op10_warc_normaliser,
 }
-ORACLE_SQL = {"op1_source_mix": OP1, "op3_line_winnowing": OP3}
+ORACLE_SQL = {"op1_source_mix": OP1, "op3_line_winnowing": OP3, "op4_multi_index_hashing": OP4}
