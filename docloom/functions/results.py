@@ -20,13 +20,14 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
 
 def parse_loose(text: Column | str) -> Column:
     """The JSON of a text as VARIANT: of its fenced block or the whole, else from its first { to its last }; null if there is none."""
+
+    def inner(t: Column) -> Column:
+        first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        return F.when((first > 0) & F.contains(t, F.lit("}")) & (last > first), F.substring(t, first, last - first + 1))
+
     raw = X._c(text)
-    t = X.strip_fences(raw)
-    t = X.strip(F.when(t == raw, X.strip_fences_loose(t)).otherwise(t))
-    first = F.instr(t, "{")
-    last = F.length(t) - F.instr(F.reverse(t), "}") + 1
-    inner = F.when((first > 0) & F.contains(t, F.lit("}")) & (last > first), F.substring(t, first, last - first + 1))
-    return F.coalesce(F.try_parse_json(F.nullif(t, F.lit(""))), F.try_parse_json(inner))
+    bare = X.let(X.strip_fences(raw), lambda t: X.strip(F.when(t == raw, X.strip_fences_loose(t)).otherwise(t)))
+    return X.let(bare, lambda t: F.coalesce(F.try_parse_json(F.nullif(t, F.lit(""))), F.try_parse_json(inner(t))))
 
 
 def critical_errors(v: Column) -> Column:
@@ -74,37 +75,38 @@ def _string(v: Column, path: str) -> Column:
     return F.when(_is(_get(v, path), "STRING"), _get(v, path, "string")).otherwise("")
 
 
+_ERRORS, _STRINGS, _MAP = "array<struct<type:string,explain:string>>", "array<string>", "map<string,string>"
+
+
 def from_text(text: Column | str) -> Column:
     """The result of an answer's text: its JSON object, or the text itself as free text."""
-    v = parse_loose(text)
-    there = _is(v, "OBJECT")
-    return F.struct(
-        F.when(there, critical_errors(_get(v, "$.critical_errors"))).otherwise(F.array().cast("array<struct<type:string,explain:string>>")).alias("critical_errors"),
-        F.when(there, recommendations(_get(v, "$.recommendations"))).otherwise(F.array().cast("array<string>")).alias("recommendations"),
-        F.when(there, _citations(v)).otherwise(F.array().cast("array<string>")).alias("citations"),
-        F.when(there, _string(v, "$.disclaimer")).otherwise("").alias("disclaimer"),
-        F.when(there, _meta(v)).otherwise(F.create_map().cast("map<string,string>")).alias("meta"),
-        F.when(there, "").otherwise(X.clean_free_text(text)).alias("free_text"),
-    )
+
+    def made(v: Column) -> Column:
+        there = _is(v, "OBJECT")
+        return F.struct(
+            F.when(there, X.let(_get(v, "$.critical_errors"), critical_errors)).otherwise(F.array().cast(_ERRORS)).alias("critical_errors"),
+            F.when(there, X.let(_get(v, "$.recommendations"), recommendations)).otherwise(F.array().cast(_STRINGS)).alias("recommendations"),
+            F.when(there, _citations(v)).otherwise(F.array().cast(_STRINGS)).alias("citations"),
+            F.when(there, _string(v, "$.disclaimer")).otherwise("").alias("disclaimer"),
+            F.when(there, _meta(v)).otherwise(F.create_map().cast(_MAP)).alias("meta"),
+            F.when(there, "").otherwise(X.clean_free_text(text)).alias("free_text"),
+        )
+
+    return X.let(parse_loose(text), made)
 
 
 def from_object(json: Column | str) -> Column:
     """The result of an answer that is an object itself; lists that it lacks come from JSON inside its text."""
-    v = F.try_parse_json(X._c(json))
-    raw = any_text(v)
-    inner = parse_loose(raw)
-    there = _is(inner, "OBJECT")
-    recs, errs = recommendations(_get(v, "$.recommendations")), critical_errors(_get(v, "$.critical_errors"))
-    said = X.strip(F.coalesce(*[F.nullif(_get(inner, f"$.{k}", "string"), F.lit("")) for k in ("answer", "text", "message")], F.lit("")))
-    free = F.when(raw == "", "").when(there & (said != ""), X.clean_free_text(said)).otherwise(X.clean_free_text(raw))
-    return F.struct(
-        F.when((F.size(errs) == 0) & there, critical_errors(_get(inner, "$.critical_errors"))).otherwise(errs).alias("critical_errors"),
-        F.when((F.size(recs) == 0) & there, recommendations(_get(inner, "$.recommendations"))).otherwise(recs).alias("recommendations"),
-        _citations(v).alias("citations"),
-        _string(v, "$.disclaimer").alias("disclaimer"),
-        _meta(v).alias("meta"),
-        free.alias("free_text"),
-    )
+
+    def made(v: Column, raw: Column, inner: Column) -> Column:
+        there = _is(inner, "OBJECT")
+        said = X.strip(F.coalesce(*[F.nullif(_get(inner, f"$.{k}", "string"), F.lit("")) for k in ("answer", "text", "message")], F.lit("")))
+        free = F.when(raw == "", "").when(there & (said != ""), X.clean_free_text(said)).otherwise(X.clean_free_text(raw))
+        errors = X.let(X.let(_get(v, "$.critical_errors"), critical_errors), lambda e: F.when((F.size(e) == 0) & there, X.let(_get(inner, "$.critical_errors"), critical_errors)).otherwise(e))
+        recs = X.let(X.let(_get(v, "$.recommendations"), recommendations), lambda r: F.when((F.size(r) == 0) & there, X.let(_get(inner, "$.recommendations"), recommendations)).otherwise(r))
+        return F.struct(errors.alias("critical_errors"), recs.alias("recommendations"), _citations(v).alias("citations"), _string(v, "$.disclaimer").alias("disclaimer"), _meta(v).alias("meta"), free.alias("free_text"))
+
+    return X.let(F.try_parse_json(X._c(json)), lambda v: X.let(any_text(v), lambda raw: X.let(parse_loose(raw), lambda inner: made(v, raw, inner))))
 
 
 def scored(text: Column | str, schema) -> Column:

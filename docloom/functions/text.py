@@ -33,6 +33,11 @@ def _c(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
@@ -87,10 +92,14 @@ def has_references_header(text: Column | str) -> Column:
 
 def references_page(text: Column | str, p: Params = Params()) -> Column:
     """struct(is_refs, ratio, n_lines)."""
-    lines = split_lines(text)
-    n = F.size(lines)
-    ratio = F.when(n >= p.refs_min_lines, F.size(F.filter(lines, is_citation)) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
-    return F.struct(((n >= p.refs_min_lines) & (ratio >= p.refs_ratio)).alias("is_refs"), ratio.alias("ratio"), n.alias("n_lines"))
+
+    def judged(lines: Column) -> Column:
+        n = F.size(lines)
+        ratio = F.when(n >= p.refs_min_lines, F.size(F.filter(lines, is_citation)) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
+        return F.struct(ratio.alias("ratio"), n.alias("n_lines"))
+
+    counted = let(split_lines(text), judged)
+    return let(counted, lambda x: F.struct(((x["n_lines"] >= p.refs_min_lines) & (x["ratio"] >= p.refs_ratio)).alias("is_refs"), x["ratio"].alias("ratio"), x["n_lines"].alias("n_lines")))
 
 
 def drop_citations(text: Column | str) -> Column:
@@ -104,16 +113,18 @@ def drop_loose_citations(text: Column | str) -> Column:
 
 def is_noise(text: Column | str, min_chars: int | None = None, p: Params = Params()) -> Column:
     """Too short, too many digits or marks, or mostly short lines."""
-    t = strip(text)
-    n = F.greatest(F.length(t), F.lit(1))
-    lines = split_lines(t)
-    short = F.size(F.filter(lines, lambda x: F.length(x) < p.noise_short_line)) / F.greatest(F.size(lines), F.lit(1))
-    return (
-        (F.length(t) < (p.noise_min_chars if min_chars is None else min_chars))
-        | (F.length(F.regexp_replace(t, r"(?U)[^\d]", "")) / n > p.noise_digits)
-        | (F.length(F.regexp_replace(t, MARKS.replace("[", "[^", 1), "")) / n > p.noise_marks)
-        | (short > p.noise_short_share)
-    )
+
+    def noisy(t: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1))
+        short = let(split_lines(t), lambda lines: F.size(F.filter(lines, lambda x: F.length(x) < p.noise_short_line)) / F.greatest(F.size(lines), F.lit(1)))
+        return (
+            (F.length(t) < (p.noise_min_chars if min_chars is None else min_chars))
+            | (F.length(F.regexp_replace(t, r"(?U)[^\d]", "")) / n > p.noise_digits)
+            | (F.length(F.regexp_replace(t, MARKS.replace("[", "[^", 1), "")) / n > p.noise_marks)
+            | (short > p.noise_short_share)
+        )
+
+    return let(strip(text), noisy)
 
 
 def looks_meaningless(text: Column | str) -> Column:
@@ -150,7 +161,7 @@ def compact_text(text: Column | str, target: int = 1400) -> Column:
         lambda a, x: F.when(F.array_contains(a["keys"], x["k"]), a).otherwise(F.struct(F.array_append(a["keys"], x["k"]).alias("keys"), F.array_append(a["out"], x["s"]).alias("out"))),
         lambda a: F.array_join(a["out"], " "),
     )
-    return F.transform(F.array(kept), lambda x: _cut_at_dot(x, target))[0]
+    return let(kept, lambda x: _cut_at_dot(x, target))
 
 
 def _cut_at_dot(t: Column, target: int) -> Column:

@@ -405,9 +405,10 @@ def json_loose(spark, sf_dir):
     return rows.select("event_id", F.size("r.critical_errors").alias("n_errors"), F.array_join("r.recommendations", ";").alias("recommendations"), F.size("r.meta").alias("n_meta"), "r.free_text")
 
 
-@query("SELECT max(epoch(ts)) > 0 AS needs_rebuild, CAST(epoch(max(ts)) AS BIGINT) AS latest FROM events")
+@query("SELECT max(epoch(ts)) > 0 AS needs_rebuild, CAST(floor(epoch(max(ts))) AS BIGINT) AS latest FROM events")
 def mtime_gate(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("double").alias("at"))
+    seconds = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS DOUBLE)")
+    rows = table(spark, sf_dir, "events").select(seconds.alias("at"))
     return delta.stale(rows, 0.0).select("needs_rebuild", F.col("latest").cast("long").alias("latest"))
 
 
