@@ -64,7 +64,8 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run:
     The first of equal runs stays, by id (null last), then hash of the text, then place.  Lines are compared
     without outer white space and with inner white space as one space; lines without other characters take no
     part and stay.  A null text stays null.  Of repeated rows with equal id and text, one is the first and the
-    others lose all lines if they have ``run`` lines or more.  No row is dropped.
+    others lose all lines if they have ``run`` lines or more.  No row is dropped.  Columns of ``docs`` by the names
+    of the two give way to them.
     """
     found = repeated_lines(docs, id=id, text=text, run=run).select(name_of("id").alias("__i"), F.col("key").alias("__k"), F.col("removed").alias("__removed"))
     lines = F.split(text_of("__text"), "\n", -1)
@@ -76,4 +77,5 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run:
     removed = F.when(F.col("__copy") == 1, F.coalesce(F.sort_array("__removed"), none)).otherwise(F.when(F.size(full) >= run, full).otherwise(none))
     rows = rows.withColumn("__removed", removed)
     clean = F.when(F.size("__removed") == 0, F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("__removed", k)), "\n"))
-    return rows.select(*[clean.alias(text) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), F.col("__removed").alias("removed"))
+    own = [c for c in docs.columns if c not in ("n_lines", "removed")]
+    return rows.select(*[clean.alias(text) if c == text else F.col(f"__row.`{c}`").alias(c) for c in own], F.size(lines).cast("long").alias("n_lines"), F.col("__removed").alias("removed"))

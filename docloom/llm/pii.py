@@ -152,11 +152,11 @@ def examples(seed: int, each: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def judge() -> tuple[Boosted, dict[str, float]]:
-    """The trees, and for each kind the log-odds from which on spans are selected."""
+    """The trees, and for each kind the log-odds (0 at least) from which on spans are selected."""
     model = fit(*examples(1), NAMES)
     x, y = examples(2)
     score = model.score(x)
-    return model, {kind: threshold(score[x[:, 0] == k], y[x[:, 0] == k], PRECISION) for k, kind in enumerate(KINDS)}
+    return model, {kind: max(0.0, threshold(score[x[:, 0] == k], y[x[:, 0] == k], PRECISION)) for k, kind in enumerate(KINDS)}
 
 
 def found(text: Column, pattern: str, needs: str, entry) -> Column:
