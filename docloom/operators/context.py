@@ -102,3 +102,14 @@ def report(result: Column) -> Column:
         F.transform(recs, lambda x, i: line(i, x["what_to_change"], " — ", x["rationale"], x)),
         F.concat(F.lit("DISCLAIMER: "), X._c(result["disclaimer"])),
     )
+
+
+def preview(items: DataFrame, *, with_text: bool = True, limit: int = 1500) -> DataFrame:
+    """Items for a preview: document, pages, page range as text, and the text's beginning if it is asked for."""
+    text = F.substring(X._c("text"), 1, limit) if with_text else F.lit(None).cast("string")
+    return items.select("query_id", "place", "doc_id", "page_start", "page_end", F.concat_ws("-", F.col("page_start").cast("string"), F.col("page_end").cast("string")).alias("page_range"), text.alias("text"))
+
+
+def sources(items: DataFrame, most: int = 10) -> DataFrame:
+    """Document and pages of the first items."""
+    return items.where(F.col("place") <= most).select("query_id", "place", F.coalesce("doc_id", F.lit("unknown")).alias("doc_id"), F.coalesce("page_start", F.lit(1)).alias("page_start"), F.coalesce("page_end", "page_start", F.lit(1)).alias("page_end"))
