@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -44,12 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders of this driver's own working tables, deleted when it ends.
+_WORKING: list[str] = []
+
+
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    if not _WORKING:
+        atexit.register(release, spark)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WORKING.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the working tables made so far; results that were read from them must have been written."""
+    while _WORKING:
+        with contextlib.suppress(Exception):  # the session may be gone
+            drop_path(spark, _WORKING.pop())
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

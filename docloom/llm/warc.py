@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, shared_dir, staged, text_of
+from .common import staged, temporary, text_of
 
 #: Bytes of records after which a file is full, and bytes that are read and inflated at once.
 FILE_BYTES, STEP = 32 << 20, 1 << 18
@@ -137,10 +137,11 @@ def archive(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
     index: file, offset, length, record_id of each record, itself written beside the files as ``index.parquet``.
     The payload is the html in UTF-8, null as empty.  Of records with equal payloads of ``least_bytes`` or more,
     that with the largest id is the response and the others revisit it; of repeated rows with this id, one is.
-    A null id is less than any other; null urls are written as ''.
+    A null id is less than any other; null urls are written as ''.  Without a ``folder`` the files are working
+    tables of this driver, deleted when it ends.
     """
     spark = pages.sparkSession
-    folder = (folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").rstrip("/")
+    folder = (folder or temporary(spark, "warc")).rstrip("/")
     chosen = staged(_plan(pages, id, html, least_bytes), "warc-plan")
     payload = text_of(html).cast("binary")
     rows = pages.select(F.col(id).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
@@ -239,6 +240,3 @@ def read_archive(index: DataFrame, folder: str, *, payload: bool = True) -> Data
             open_file.close()
 
     return index.mapInArrow(run, READ)
-
-
-__all__ = ["archive", "drop_path", "read_archive"]
