@@ -20,7 +20,7 @@ import sentencepiece
 
 MARK = "▁"
 #: Words remembered by each Python worker before the memory is emptied, and bits of the memory of token pairs.
-REMEMBER, PAIR_BITS = 700_000, 21
+REMEMBER, PAIR_BITS = 350_000, 21
 #: In a prefix table: a character that joins nothing.
 OTHER = -2
 
@@ -84,7 +84,7 @@ class PieceTable:
                     edges.append((nodes[p[: k - 1]], number[p[k - 1]], nodes[p[:k]]))
             token[nodes[p]] = i
         a, c, b = map(np.array, zip(*edges))
-        self.step = np.zeros((len(nodes), len(letters) + 1), np.int32) if len(nodes) * len(letters) < 40_000_000 else Sparse(a, c, b, len(letters) + 1)
+        self.step = np.zeros((len(nodes), len(letters) + 1), np.uint16 if len(nodes) < 1 << 16 else np.int32) if len(nodes) * len(letters) < 40_000_000 else Sparse(a, c, b, len(letters) + 1)
         if not isinstance(self.step, Sparse):
             self.step[a, c] = b
         self.token = np.array(token, np.int32)
