@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SHINGLE, SIMILAR, sliced, staged, texts
-from .similar import FEATURES, Rows, U, digest, mixed, resolve, shingles, signature, stream
+from .similar import FEATURES, Rows, U, digest, mixed, packed, resolve, shingles, signature, stream
 
 #: Sets pick 1 / BRANCH tokens each on average.
 BRANCH = 0.8
@@ -62,7 +62,7 @@ def features(docs: DataFrame, id: str, text: str, runs: int, shingle: int = SHIN
             columns: list[list] = [[] for _ in range(6)]
             for value in texts(batch, text):
                 s = shingles(value.encode("utf-8", "surrogatepass").split(), shingle)
-                row = (rows.take(), digest(s), len(s), signature(s), s.tobytes(), picks(s, seeds)) if len(s) else (rows.take(), None, 0, None, None, [])
+                row = (rows.take(), digest(s), len(s), signature(s), packed(s), picks(s, seeds)) if len(s) else (rows.take(), None, 0, None, None, [])
                 for c, v in zip(columns, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(id)] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["id", *FEATURES.names])
@@ -82,7 +82,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     rows = features(docs, id, text, repeats(similar, recall), shingle)
     classes = staged(resolve(rows, similar=similar, split=deeper, bucket=bucket), "near-classes")
-    named = rows.select("id", "uid", "rid").join(classes.select("rid", "copies", "links", "root"), "rid", "left")
+    named = rows.select("id", "uid", "rid").join(classes.select("rid", "copies", "links", "root").hint("merge"), "rid", "left")
     named = staged(named.select("id", "uid", F.coalesce("root", "uid").alias("root"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "near-rows")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("uid"))).alias("first"))
     return named.join(first, "root").select("id", F.col("first.id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.when(F.col("first.uid") == F.col("uid"), 0).otherwise(1).alias("copy"))

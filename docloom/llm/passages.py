@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SHINGLE, SIMILAR, WORD, sliced, staged, texts
-from .similar import FEATURES, Rows, U, digest, mixed, mixed_low, resolve, runs, signature, stream
+from .similar import FEATURES, Rows, U, digest, met, mixed, mixed_low, packed, resolve, runs, short, signature, stream
 
 #: Words either side that decide whether a line is cut at a word.
 RADIUS = 5
@@ -88,7 +88,7 @@ def units_of(text: str, places: np.ndarray, least_words: int, long: int):
             continue
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, n)
         whole = int(mixed(np.array([xxhash.xxh3_64_intdigest(h.tobytes())], U))[0])
-        s = np.unique(runs(h, SHINGLE)) if n >= max(SHINGLE, least_words) else None
+        s = short(runs(h, SHINGLE)) if n >= max(SHINGLE, least_words) else None
         yield int(starts[0]), int(ends[-1]), LINE, whole, s
         if n > long:
             at = [0, *cuts(h).tolist(), n]
@@ -110,7 +110,7 @@ def units(docs: DataFrame, id: str, text: str, places: np.ndarray, least_words:
                     if s is None:
                         row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, None, None, 0, None, None, None)
                     else:
-                        row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, rows.take(), digest(s), len(s), signature(s), s.tobytes(), band_keys(s, places))
+                        row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, rows.take(), digest(s), len(s), signature(s), packed(s), band_keys(s, places))
                     for c, v in zip(out, row):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(id).take(pa.array(ids, pa.int32()))] + [pa.array(c, t) for c, t in zip(out, _ARROW)], names=["id", *UNITS.names, *FEATURES.names])
@@ -133,12 +133,16 @@ def repeated_passages(
     rows = units(docs, id, text, places, least_words, long)
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc"), F.col("start"))
     spans = rows.where(F.col("kind") != DOC).select("id", "doc", "start", "end", "kind", "h")
-    first = spans.groupBy("h", "kind").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    equal = spans.join(first, ["h", "kind"]).where(order != F.col("first")).select("doc", "start", "end", "kind")
+    # only hashes move to find those that repeat; places move for those alone
+    often = staged(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "passage-repeats")
+    again = staged(met(spans, often, "h", "left_semi"), "passage-again")
+    first = again.groupBy("h", "kind").agg(F.min(order).alias("first"))
+    equal = again.join(first.hint("merge"), ["h", "kind"]).where(order != F.col("first")).select("doc", "start", "end", "kind")
     near = resolve(rows.where(F.col("kind") == LINE).select(*FEATURES.names), similar=similar, bucket=bucket, label="passage").where("links > 0").select("rid", "root")
-    lines = rows.where((F.col("kind") == LINE) & F.col("rid").isNotNull()).select("id", "doc", "start", "end", "kind", "rid").join(near, "rid")
+    lines = rows.where((F.col("kind") == LINE) & F.col("rid").isNotNull()).select("id", "doc", "start", "end", "kind", "rid")
+    lines = staged(met(lines, staged(near, "passage-near"), "rid"), "passage-lines")
     lead = lines.groupBy("root").agg(F.min(order).alias("first"))
-    alike = lines.join(lead, "root").where(order != F.col("first")).select("doc", "start", "end", "kind")
+    alike = lines.join(lead.hint("merge"), "root").where(order != F.col("first")).select("doc", "start", "end", "kind")
     by_doc = Window.partitionBy("doc").orderBy("start", "end")
     runs_ = (
         equal.union(alike)

@@ -20,7 +20,7 @@ from hashlib import md5
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,13 +49,38 @@ PLACES = stream(1, SIGNATURE) | U(1)
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the different runs of ``size`` words; fewer words are one run, no words none."""
+    """Sorted 40-bit hashes of the different runs of ``size`` words; fewer words are one run, no words none."""
     if not words:
         return np.empty(0, U)
     if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words))], U)
+        return short(np.array([xxhash.xxh3_64_intdigest(b"\0".join(words))], U))
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
-    return np.unique(runs(h, size))
+    return short(runs(h, size))
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """The set of the hashes' upper 40 bits, sorted: two sets of a thousand shingles share one by chance in a millionth of cases."""
+    return np.unique(h >> U(24))
+
+
+def packed(s: np.ndarray) -> bytes:
+    """Five bytes each: what is staged and moved."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+#: Rows of two or three numbers that are sent to all tasks at most: some 32 MB.
+BOUND = 1_000_000
+
+
+def met(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``big`` join ``small``, a staged table of a few numbers a row: sent to all tasks while it has BOUND rows at most, so that wide rows stay where they are; beyond that, both are dealt out."""
+    return big.join(F.broadcast(small) if small.count() <= BOUND else small.hint("merge"), on, how)
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -204,7 +229,7 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
     def run(batches):
         for t in grouped(batches, ["group", "uid", "copies", "set", "block", "i", "j"], "group"):
             group, uid, copies = (t.column(c).to_numpy() for c in ("group", "uid", "copies"))
-            sets = [np.frombuffer(s, U) for s in t.column("set").to_pylist()]
+            sets = [unpacked(s) for s in t.column("set").to_pylist()]
             block, i, j = (t.column(c).to_numpy() for c in ("block", "i", "j"))
             bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
             out_uid, out_links, out_root = [], [], []
@@ -281,12 +306,11 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
     """
     sets = features.where("n > 0")
     reps = staged(sets.groupBy("rid").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), f"{label}-sets")
-    own = sets.join(reps.select("uid"), "uid", "left_semi")
-    keys = own.select("uid", F.explode("keys").alias("key"))
+    keys = sets.select("uid", "keys").join(reps.select("uid").hint("merge"), "uid", "left_semi").select("uid", F.explode("keys").alias("key"))
     level, calm = 1, []
     while True:
         crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        live = staged(keys.join(crowds, "key"), f"{label}-buckets")
+        live = staged(keys.join(crowds.hint("merge"), "key"), f"{label}-buckets")
         if split is None or level >= depth:
             calm.append(live)
             break
@@ -294,20 +318,21 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
         crowded = live.where(F.col("members") > bucket)
         if not crowded.take(1):
             break
-        keys = _split(crowded, own, split, level)
+        keys = staged(_split(crowded.select("uid", "key"), sets, split, level), f"{label}-deeper")
         level += 1
     live = calm[0]
     for x in calm[1:]:
         live = live.union(x)
     parts = F.ceil(F.col("members") / bucket)
-    alike = dealt(live.join(own.select("uid", "sig"), "uid"), "key", parts, 1)
+    alike = dealt(live.join(sets.select("uid", "sig").hint("merge"), "uid"), "key", parts, 1)
     ties = tie_alike(alike.select("group", "uid", "sig"), similar)
     groups = staged(components(ties, label), f"{label}-groups")
     # blocks are bounded in sets and in words
-    load = groups.join(own.select("uid", "n"), "uid").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"))
-    parts = F.greatest(F.ceil(F.col("members") / group), F.ceil(F.col("words") / 1_000_000))
-    members = groups.join(own.select("uid", "set"), "uid").join(reps.select("uid", "copies"), "uid").join(load, "root")
-    checked = staged(verify(dealt(members, "root", parts, 2), similar), f"{label}-links")
+    sized = groups.join(sets.select("uid", "n").hint("merge"), "uid").join(reps.select("uid", "copies").hint("merge"), "uid")
+    load = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"))
+    narrow = staged(sized.join(load, "root").select("uid", "root", "copies", F.greatest(F.ceil(F.col("members") / group), F.ceil(F.col("words") / 1_000_000)).alias("blocks")), f"{label}-members")
+    members = met(sets.select("uid", "set"), narrow, "uid")
+    checked = staged(verify(dealt(members, "root", F.col("blocks"), 2), similar), f"{label}-links")
     links = checked.groupBy("uid").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("uid").alias("a"), F.col("root").alias("b")), label)
     return (
@@ -315,20 +340,20 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
     )
 
 
-def _split(crowded: DataFrame, own: DataFrame, split: Split, level: int) -> DataFrame:
+def _split(crowded: DataFrame, sets: DataFrame, split: Split, level: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = batch.column("key").to_numpy()
             uid = batch.column("uid").to_numpy()
             out_u, out_k = [], []
             for u, k, s in zip(uid, keys, batch.column("set").to_pylist()):
-                found = split(np.frombuffer(s, U), k, level)
+                found = split(unpacked(s), k, level)
                 out_k.append(found)
                 out_u.append(np.full(len(found), u))
             if out_k:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u).astype(np.int64)), pa.array(np.concatenate(out_k).astype(np.int64))], names=["uid", "key"])
 
-    return crowded.select("uid", "key").join(own.select("uid", "set"), "uid").mapInArrow(run, "uid long, key long")
+    return met(sets.select("uid", "set"), crowded, "uid").mapInArrow(run, "uid long, key long")
 
 
 FEATURES = T.StructType(
@@ -357,7 +382,4 @@ class Rows:
 
 
 def digest(s: np.ndarray) -> bytes:
-    return md5(s.tobytes(), usedforsecurity=False).digest()
-
-
-__all__ = ["Window", "components", "digest", "resolve", "shingles", "signature"]
+    return md5(packed(s), usedforsecurity=False).digest()
