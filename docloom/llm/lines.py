@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run:
     """
     found = repeated_lines(docs, id=id, text=text, run=run).select(name_of("id").alias("__i"), F.col("key").alias("__k"), F.col("removed").alias("__removed"))
     lines = F.split(text_of("__text"), "\n", -1)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), name_of(id).alias("__i"), F.col(text).alias("__text"), F.xxhash64(text_of(text)).alias("__k"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("__none"), *others).alias("__row"), name_of(id).alias("__i"), F.col(text).alias("__text"), F.xxhash64(text_of(text)).alias("__k"))
     rows = rows.join(found, ["__i", "__k"], "left")
     rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__i", "__k").orderBy(F.lit(0))))
     none = F.array().cast("array<int>")
