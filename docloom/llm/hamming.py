@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BITS = 64
+#: Segments that a query is looked up by at once.
+TOGETHER = 4096
 
 
 def sign_code(vector: str) -> Column:
@@ -61,38 +63,51 @@ def nearest_codes(base: DataFrame, queries: DataFrame, *, k: int = 10, bits: int
     asked = staged(queries.where("query_id IS NOT NULL AND code IS NOT NULL").select("query_id", "code").distinct(), "code-queries")
     index = staged(entries.select("code", F.explode(segments(F.col("code"), bits)).alias("x")).select("code", "x.place", "x.value"), "code-index")
     open_ = staged(asked.select(F.col("code").alias("q")).distinct(), "code-open")
-    depth = min(k + 1, total) if total else 0
-    best = None
-    radius = 0
+    depth = min(k + 1, total)
+    ended: list[DataFrame] = []
+    known = None
+    radius = -1
     while depth and open_.take(1):
-        if comb(bits, radius) * parts > 4096 and comb(bits, radius) * parts >= total:
-            # looking at every code is less work than all flips of this radius: the codes in blocks, met by one key
+        reach = radius + 1
+        few = comb(bits, reach) * parts <= max(TOGETHER, total)
+        flips = masks(bits, reach) if few else []
+        # the first radii together, as long as their flips are few; then one by one
+        while few and reach < bits and (len(flips) + comb(bits, reach + 1)) * parts <= TOGETHER:
+            reach += 1
+            flips += masks(bits, reach)
+        if not few:
+            # looking at every code is less work than all flips of this radius: the queries meet the codes in blocks, by an equal key
             blocks = max(1, total // 4096)
-            near = open_.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(entries.select("code", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("b")), "b").select("q", "code")
+            each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+            near = open_.withColumn("b", each).join(entries.select("code", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("b")), "b").select("q", "code")
             covered = BITS
         else:
-            flips = F.array(*[F.lit(m).cast("long") for m in masks(bits, radius)])
-            probes = open_.select("q", F.explode(segments(F.col("q"), bits)).alias("x")).select("q", "x.place", F.explode(F.transform(flips, lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
+            radius = reach
+            turned = F.array(*[F.lit(m).cast("long") for m in flips])
+            probes = open_.select("q", F.explode(segments(F.col("q"), bits)).alias("x")).select("q", "x.place", F.explode(F.transform(turned, lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
             near = probes.join(index, ["place", "value"]).select("q", "code")
             covered = parts * (radius + 1) - 1
-        met = near.withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code")))).distinct()
-        if best is not None:
-            met = met.union(best.join(open_, "q", "left_semi").select("q", "code", "d")).distinct()
-        ranked = met.join(entries.select("code", F.get("ids", F.lit(0)).alias("lead")), "code").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "lead"))).where(F.col("n") <= depth).select("q", "code", "d")
-        ranked = staged(ranked, f"codes-{radius}")
-        size = ranked.join(entries.select("code", F.size("ids").alias("m")), "code")
-        # the kth (with the query itself: k + 1st) verified id
+        met = near.withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+        if known is not None:
+            met = met.unionByName(known.join(open_, "q", "left_semi"))
+        best = Window.partitionBy("q").orderBy("d", "lead")
+        ranked = met.distinct().join(entries.select("code", F.get("ids", F.lit(0)).alias("lead"), F.size("ids").alias("m")), "code").withColumn("n", F.row_number().over(best)).where(F.col("n") <= depth)
+        known = staged(ranked.select("q", "code", "d", "m"), "codes-met")
+        # the kth (with the query itself, k + 1st) verified id must lie within what is covered
         upto = F.sum("m").over(Window.partitionBy("q").orderBy("d", "code"))
-        kth = size.withColumn("upto", upto).where(F.col("upto") >= k + 1).groupBy("q").agg(F.min("d").alias("kth"))
-        done = kth.where(F.col("kth") <= covered).select("q")
-        still = open_.join(done, "q", "left_anti") if covered < BITS else open_.limit(0)
-        still = staged(still, "code-open")
-        best = ranked if best is None else best.join(open_, "q", "left_anti").select("q", "code", "d").union(ranked)
-        best = staged(best, "codes-best")
+        kth = known.withColumn("upto", upto).where(F.col("upto") >= k + 1).groupBy("q").agg(F.min("d").alias("kth"))
+        known = known.drop("m")
+        if covered >= BITS:
+            ended.append(known)
+            break
+        still = staged(open_.join(kth.where(F.col("kth") <= covered).select("q"), "q", "left_anti"), "code-open")
+        ended.append(known.join(still, "q", "left_anti"))
         open_ = still
-        radius += 1
-    if best is None:
+    if not ended:
         return asked.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(0).alias("distance")).limit(0)
+    best = ended[0]
+    for x in ended[1:]:
+        best = best.unionByName(x)
     listed = best.join(entries, "code").select("q", "d", F.explode("ids").alias("id"))
     answers = asked.join(listed, asked.code == listed.q).where(F.col("id") != F.col("query_id"))
     order = Window.partitionBy("query_id", "q").orderBy("d", "id")
