@@ -1,10 +1,12 @@
-"""Removal of repeated passages: paragraphs by MinHash bands, pieces of long paragraphs by equal content.
+"""Removal of repeated passages: paragraphs by MinHash bands, passages inside long paragraphs by equal pieces.
 
 Paragraphs are lines.  Those of ``least_words`` or more collide in a band of MinHash values, are verified by
 exact Jaccard similarity of their five-word shingles, and form classes by connected components; of each class
 the first paragraph stays.  A passage inside a longer line is no paragraph, so lines of more than ``long``
 words are also cut where the words themselves say so (at local minima of a hash of two words, within RADIUS
-words either side): equal passages are cut alike wherever they stand, and their equal pieces are classes, too.
+words either side): equal passages are cut alike wherever they stand.  The words that decide a cut are a piece;
+equal pieces are seeds, and each is extended word by word both ways for as long as it equals the first place of
+its piece.  Up to the next cut's piece is far enough: where both are cut alike there, that piece is a seed, too.
 Repeats that touch are one span; a span goes if it is long enough.
 """
 
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHINGLE, SIMILAR, WORD, sliced, staged, texts
-from .similar import FEATURES, Rows, U, digest, met, mixed, mixed_low, packed, resolve, runs, short, signature, stream
+from .common import SHINGLE, SIMILAR, WORD, sliced, staged, text_of, texts
+from .similar import BOUND, FEATURES, Rows, U, digest, met, mixed, mixed_low, packed, resolve, runs, short, signature, stream
 
 #: Words either side that decide whether a line is cut at a word.
 RADIUS = 5
@@ -56,6 +58,11 @@ def cuts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(window.argmin(axis=1) == RADIUS) + RADIUS
 
 
+def piece(c: int) -> tuple[int, int]:
+    """The words (from, to) that decide the cut at word c."""
+    return c - RADIUS, c + RADIUS + 2
+
+
 def lines_of(text: str):
     """(start, end, starts and ends of words) of each line; places are code points."""
     at = 0
@@ -91,32 +98,97 @@ def units_of(text: str, places: np.ndarray, least_words: int, long: int):
         s = short(runs(h, SHINGLE)) if n >= max(SHINGLE, least_words) else None
         yield int(starts[0]), int(ends[-1]), LINE, whole, s
         if n > long:
-            at = [0, *cuts(h).tolist(), n]
-            for a, b in zip(at[1:-1], at[2:-1]):  # what reaches an end of the line is no piece of its own
+            for a, b in map(piece, cuts(h).tolist()):
                 yield int(starts[a]), int(ends[b - 1]), PIECE, xxhash.xxh3_64_intdigest(h[a:b].tobytes()), None
 
 
+def keyed(docs: DataFrame, text: str, *others: F.Column) -> DataFrame:
+    """The texts with a key: equal texts have equal words at equal places."""
+    return docs.select(*others, F.col(text).alias("text"), F.unhex(F.md5(text_of(text))).alias("key"))
+
+
 def units(docs: DataFrame, id: str, text: str, places: np.ndarray, least_words: int, long: int) -> DataFrame:
+    """Documents (rid: key of the text), paragraphs and pieces."""
+
     def run(batches):
         rows = Rows()
         for batch in sliced(batches, 128):
             out: list[list] = [[] for _ in range(11)]
             ids: list[int] = []
-            for k, value in enumerate(texts(batch, text)):
+            keys = batch.column("key").to_pylist()
+            for k, value in enumerate(texts(batch, "text")):
                 doc = rows.take()
                 found = [(0, len(value), DOC, 0, None), *units_of(value, places, least_words, long)]
                 for start, end, kind, h, s in found:
                     ids.append(k)
                     if s is None:
-                        row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, None, None, 0, None, None, None)
+                        row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, None, keys[k] if kind == DOC else None, 0, None, None, None)
                     else:
                         row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, rows.take(), digest(s), len(s), signature(s), packed(s), band_keys(s, places))
                     for c, v in zip(out, row):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(id).take(pa.array(ids, pa.int32()))] + [pa.array(c, t) for c, t in zip(out, _ARROW)], names=["id", *UNITS.names, *FEATURES.names])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int32()))] + [pa.array(c, t) for c, t in zip(out, _ARROW)], names=["id", *UNITS.names, *FEATURES.names])
 
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType)] + UNITS.fields + FEATURES.fields)
-    return staged(docs.select(*dict.fromkeys([id, text])).mapInArrow(run, schema), "passage-units")
+    return staged(keyed(docs, text, F.col(id).alias("id")).mapInArrow(run, schema), "passage-units")
+
+
+def beside(text: str, wanted: list[int], long: int):
+    """(start, left, right) of the pieces that start at the wanted places: what stands beside each in its line, up to the ends of the next cuts' pieces."""
+    left = set(wanted)
+    for start, end, words, starts, ends in lines_of(text):
+        n = len(words)
+        if n <= long or not any(start <= x < end for x in left):
+            continue
+        at = [piece(c) for c in cuts(np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, n)).tolist()]
+        for k, (a, b) in enumerate(at):
+            if (place := int(starts[a])) in left:
+                lo = at[k - 1][0] if k else 0
+                hi = at[k + 1][1] if k + 1 < len(at) else n
+                yield place, text[starts[lo] : place], text[ends[b - 1] : ends[hi - 1]]
+
+
+def contexts(docs: DataFrame, text: str, wanted: DataFrame, long: int) -> DataFrame:
+    """(key, start, left, right) for each wanted (key, start); texts that are not wanted stay where they are."""
+
+    def run(batches):
+        for batch in sliced(batches, 128):
+            found = [(k, *x) for k, (value, starts) in enumerate(zip(texts(batch, "text"), batch.column("starts").to_pylist())) for x in beside(value, starts, long)]
+            k, start, left, right = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(k, pa.int32())), pa.array(start, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["key", "start", "left", "right"])
+
+    wanted = staged(wanted.groupBy("key").agg(F.collect_set("start").alias("starts")), "passage-wanted")
+    rows = keyed(docs, text)
+    if wanted.count() <= BOUND:
+        rows = rows.join(F.broadcast(wanted.select("key")), "key", "left_semi")
+    found = rows.join(wanted.hint("merge"), "key").mapInArrow(run, "key binary, start int, left string, right string")
+    return staged(found.dropDuplicates(["key", "start"]), "passage-contexts")
+
+
+def common(a: list[str], b: list[str]) -> int:
+    """Equal words at the front."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def extended(seeds: DataFrame) -> DataFrame:
+    """(doc, start, end): seeds (doc, start, end, left, right, left0, right0) with the words in which both sides equal those of the first place."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            start, end = batch.column("start").to_pylist(), batch.column("end").to_pylist()
+            sides = zip(*(batch.column(c).to_pylist() for c in ("left", "right", "left0", "right0")))
+            for k, (left, right, left0, right0) in enumerate(sides):
+                found = [(m.start(), m.group()) for m in _WORD.finditer(left)][::-1]
+                n = common([w for _, w in found], _WORD.findall(left0)[::-1])
+                if n:
+                    start[k] -= len(left) - found[n - 1][0]
+                found = [(m.end(), m.group()) for m in _WORD.finditer(right)]
+                n = common([w for _, w in found], _WORD.findall(right0))
+                if n:
+                    end[k] += found[n - 1][0]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc", "start", "end"])
+
+    return seeds.select("doc", "start", "end", "left", "right", "left0", "right0").mapInArrow(run, "doc long, start int, end int")
 
 
 def repeated_passages(
@@ -124,9 +196,10 @@ def repeated_passages(
 ) -> DataFrame:
     """One row for each row of ``docs``: id, n_chars, n_removed (code points), spans (array of start and end of what goes, in code points).
 
-    Of equal or similar paragraphs and of equal pieces the first by id (null last), row and place stays.  A span
-    goes if it has ``least_chars`` code points, or half of them and a piece (whose passage reaches up to RADIUS
-    words further either side).  Null, empty and short texts lose nothing; of repeated rows the later ones lose
+    Of equal or similar paragraphs and of equal passages inside lines the first by id (null last), row and place
+    stays.  A passage inside a line is found by its pieces and goes to its last word on either side, as far as it
+    equals the first place of the piece next to that side.  A span goes if it has ``least_chars`` code points, or
+    half of them and a piece.  ``docs`` is read twice; only texts with such passages are read again in full.  Null, empty and short texts lose nothing; of repeated rows the later ones lose
     their long enough paragraphs.
     """
     places = stream(11, BAND * bands(similar, recall)) | U(1)
@@ -137,15 +210,28 @@ def repeated_passages(
     often = staged(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "passage-repeats")
     again = staged(met(spans, often, "h", "left_semi"), "passage-again")
     first = again.groupBy("h", "kind").agg(F.min(order).alias("first"))
-    equal = again.join(first.hint("merge"), ["h", "kind"]).where(order != F.col("first")).select("doc", "start", "end", "kind")
+    equal = again.join(first.hint("merge"), ["h", "kind"]).where(order != F.col("first"))
+    equal = staged(equal.select("doc", "start", "end", "kind", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")), "passage-equal")
     near = resolve(rows.where(F.col("kind") == LINE).select(*FEATURES.names), similar=similar, bucket=bucket, label="passage").where("links > 0").select("rid", "root")
     lines = rows.where((F.col("kind") == LINE) & F.col("rid").isNotNull()).select("id", "doc", "start", "end", "kind", "rid")
     lines = staged(met(lines, staged(near, "passage-near"), "rid"), "passage-lines")
     lead = lines.groupBy("root").agg(F.min(order).alias("first"))
     alike = lines.join(lead.hint("merge"), "root").where(order != F.col("first")).select("doc", "start", "end", "kind")
+    whole = staged(equal.where(F.col("kind") == LINE).select("doc", "start", "end", "kind").union(alike), "passage-whole")
+    # pieces in lines that go as a whole need no extension
+    lost = whole.where(F.col("end") - F.col("start") >= least_chars).select("doc", "start", "end", "kind", F.lit(None).cast("long").alias("doc0"), F.lit(None).cast("int").alias("start0"))
+    so_far = Window.partitionBy("doc").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seeds = equal.where(F.col("kind") == PIECE).union(lost).withColumn("lost", F.max(F.when(F.col("kind") == LINE, F.col("end"))).over(so_far))
+    seeds = seeds.where((F.col("kind") == PIECE) & (F.col("lost").isNull() | (F.col("lost") < F.col("end"))))
+    names = rows.where(F.col("kind") == DOC).select("doc", F.col("rid").alias("key"))
+    seeds = seeds.select("doc", "start", "end", "doc0", "start0").join(names.hint("merge"), "doc").join(names.select(F.col("doc").alias("doc0"), F.col("key").alias("key0")).hint("merge"), "doc0")
+    seeds = staged(seeds.select("doc", "start", "end", "key", "key0", "start0"), "passage-seeds")
+    sides = contexts(docs, text, seeds.select("key", "start").union(seeds.select("key0", "start0")), long)
+    theirs = sides.select(F.col("key").alias("key0"), F.col("start").alias("start0"), F.col("left").alias("left0"), F.col("right").alias("right0"))
+    inside = extended(seeds.join(sides.hint("merge"), ["key", "start"]).join(theirs.hint("merge"), ["key0", "start0"])).withColumn("kind", F.lit(PIECE))
     by_doc = Window.partitionBy("doc").orderBy("start", "end")
     runs_ = (
-        equal.union(alike)
+        whole.union(inside)
         .withColumn("reach", F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 2), 1).otherwise(0))
         .withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))

@@ -34,6 +34,26 @@ def test_planted(spark):
     assert bands(0.8, 0.999) >= bands(0.9, 0.999)
 
 
+def test_inline_to_the_last_word(spark):
+    """Of planted passages inside lines no word stays, whatever their cuts, at the ends of lines and beside other white space; what stands around them does."""
+    r = random.Random(2)
+    docs, planted = [], {}
+    for k in range(300):
+        passage = prose(r, r.choice([51, 60, 100]))
+        for j in range(2):
+            a, b = (prose(r, n) for n in r.choice([(0, 40), (3, 40), (40, 40), (40, 3), (40, 0)]))
+            inside = passage.replace(" ", "  ", 3) if j else passage
+            docs.append((2 * k + j, " ".join(x for x in (a, inside, b) if x)))
+            if j:
+                planted[2 * k + j] = inside
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {x.id: x.spans for x in repeated_passages(df).collect()}
+    texts = dict(docs)
+    for k, inside in planted.items():
+        assert [texts[k][s.start : s.end] for s in got[k]] == [inside]
+    assert not any(got[k] for k in range(0, 600, 2))
+
+
 def test_odd(odd, none):
     rows = repeated_passages(odd, least_words=5, least_chars=20).collect()
     assert len(rows) == odd.count() and repeated_passages(none).count() == 0
