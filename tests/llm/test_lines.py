@@ -35,6 +35,30 @@ def test_against_plain_search(spark, seed, run):
     assert all(x.text == "\n".join(line for k, line in enumerate(texts[x.doc_id].split("\n")) if k not in x.removed) for x in got)
 
 
+def with_long_lines(docs, run, words):
+    """Beside runs of lines, single lines of so many words that were seen before."""
+    gone, seen = spec(docs, run), set()
+    for i, text in sorted(docs):
+        for k, x in enumerate(text.split("\n")):
+            w = tuple(x.split())
+            if len(w) >= words:
+                gone[i] = sorted({*gone[i], k}) if w in seen else gone[i]
+                seen.add(w)
+    return gone
+
+
+def test_long_lines(spark):
+    r = random.Random(3)
+    long = [" ".join(f"{k}{j}" for j in range(50)) for k in "abc"]
+    docs = [(k, "\n".join(r.choice(["a", "b", *long, long[0].replace(" ", "  "), long[1][:-4], f"u{r.random()}", f"v{r.random()}"]) for _ in range(r.randint(1, 6)))) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for run in (2, 3):
+        got = {x.doc_id: list(x.removed) for x in dedup_lines(df, run=run, words=50).collect()}
+        assert got == with_long_lines(docs, run, 50) != spec(docs, run)
+    twice = spark.createDataFrame([(1, long[0])] * 2 + [(2, "short")] * 2, "doc_id long, text string")
+    assert sorted((x.doc_id, list(x.removed)) for x in dedup_lines(twice, words=50).collect()) == [(1, []), (1, [0]), (2, []), (2, [])]
+
+
 def test_odd(odd, none):
     rows = dedup_lines(odd).collect()
     assert len(rows) == odd.count() and dedup_lines(none).count() == 0
