@@ -1,18 +1,23 @@
-"""Exact nearest binary codes by multi-index hashing with growing radii.
+"""Exact nearest binary codes by multi-index hashing with growing segment radii.
 
-A code is cut into segments.  If all segments of two codes differ in more than r bits each, the codes differ in
-more than segments * (r + 1) - 1 bits; so once every segment has been searched to radius r, all codes within
-segments * (r + 1) - 1 bits have been met.  Radii grow until the kth verified distance is within that, query by
-query; queries that are done take no further part.
+A code is cut into segments.  Once every segment has been searched to radius r, all codes within
+segments * (r + 1) - 1 bits have been met: a code farther off differs in more than r bits of each segment.  With
+the first n segments searched to radius r + 1 besides, the bound grows by n.  So a query whose kth verified
+distance is d needs only the first d - segments * (r + 1) + 1 segments of the next radius, and is done once the
+bound covers d.  Radii grow, query by query; queries that are done take no further part.  No other search stands
+beside the index.
+
+A probe meets a code in the first segment, of those of least distance, that is searched: which one this is can be
+told from the two codes, so what has been met before is never met again and nothing has to be made distinct.
 
 Equal codes are one entry with its k least ids (ties go to the least id, so no other can be in a result): a code
-that a third of all rows have is one entry of the index.
+that a third of all rows have is one entry of the index.  A segment value that many codes share is dealt out in
+parts; a directory of the values that exist sends each probe to the parts of its value, or nowhere.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BITS = 64
-#: Segments that a query is looked up by at once.
-TOGETHER = 4096
+#: Codes of one segment value that one part of the index holds.
+PART = 4096
 
 
 def sign_code(vector: str) -> Column:
@@ -30,27 +35,57 @@ def sign_code(vector: str) -> Column:
     return F.when(F.col(vector).isNotNull(), F.aggregate(F.filter(bit, lambda b: b.isNotNull()), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
-def segment_bits(codes: int) -> int:
-    """About log2 of the number of codes, so that a segment's bucket holds about one, and a divisor of 64 between 8 and 32."""
-    return next((b for b in (8, 16, 32) if 1 << b >= codes), 32)
+def segment_widths(codes: int, bits: int | None = None) -> list[int]:
+    """Widths of the segments: about log2 of the number of codes, less 2 as a probe costs more than a comparison; 8 to 22 bits."""
+    about = bits or min(22, max(8, math.ceil(math.log2(max(codes, 2))) - 2))
+    parts = math.ceil(BITS / about)
+    return [BITS // parts + (k < BITS % parts) for k in range(parts)]
+
+
+def _masks(widths: list[int]) -> list[int]:
+    starts = [sum(widths[:k]) for k in range(len(widths))]
+    return [((1 << w) - 1) << s for w, s in zip(widths, starts)]
+
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
+def segments(code: Column, widths: list[int]) -> Column:
+    """(place, width, value) of each segment."""
+    starts = [sum(widths[:k]) for k in range(len(widths))]
+    return F.array(*[F.struct(F.lit(p).alias("place"), F.lit(w).alias("width"), F.shiftrightunsigned(code, s).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("value")) for p, (w, s) in enumerate(zip(widths, starts))])
 
 
-def masks(bits: int, radius: int) -> list[int]:
-    """All flips of exactly ``radius`` of ``bits`` bits."""
-    return [sum(1 << i for i in c) for c in combinations(range(bits), radius)]
+def probes(asked: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """(q, need, place, value): the first ``need`` segments of each query with exactly ``radius`` bits flipped, each bit above the one flipped before."""
+    out = asked.select("q", "need", F.explode(segments(F.col("q"), widths)).alias("x")).where("x.place < need").select("q", "need", "x.place", "x.width", "x.value", F.lit(-1).alias("top"))
+    for left in range(radius - 1, -1, -1):
+        out = (
+            out.where(F.col("top") + 1 <= F.col("width") - 1 - left)
+            .withColumn("bit", F.explode(F.expr(f"sequence(top + 1, width - 1 - {left})")))
+            .select("q", "need", "place", "width", F.expr("value ^ shiftleft(1L, bit)").alias("value"), F.col("bit").alias("top"))
+        )
+    return out.select("q", "need", "place", "value")
 
 
-def segments(code: Column, bits: int) -> Column:
-    """(place, value) of each segment."""
-    return F.array(*[F.struct(F.lit(s).alias("place"), F.shiftrightunsigned(code, s * bits).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for s in range(BITS // bits)])
+def first_met(widths: list[int], radius: int) -> Column:
+    """Whether (q, need, place) is where a probe first meets ``code``: no segment is nearer, and none before it is as near."""
+    apart = F.col("q").bitwiseXOR(F.col("code"))
+    distance = [F.bit_count(apart.bitwiseAND(_long(m))) for m in _masks(widths)]
+    out = F.lit(True)
+    for p, d in enumerate(distance):
+        out = out & F.when(F.col("place") > p, d > radius).otherwise(d >= radius)
+    return out
 
 
-def nearest_codes(base: DataFrame, queries: DataFrame, *, k: int = 10, bits: int | None = None) -> DataFrame:
+def nearest_codes(base: DataFrame, queries: DataFrame, *, k: int = 10, bits: int | None = None, rounds: list | None = None) -> DataFrame:
     """For each row of ``queries`` (query_id, code) its k nearest rows of ``base`` (id, code) but for that with its own id: query_id, rank, id, distance.
 
     Nearest by Hamming distance of 64-bit codes, then least id.  Rows with a null code or id take no part.
     Repeated ids count once for each code.  Fewer than k rows give as many as there are.  Queries with equal
-    codes are searched once.
+    codes are searched once.  Other columns play no part.  ``rounds``, where given, gets (radius, queries still
+    open after it) of each round.
     """
     rows = base.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
     # a query may meet itself, so one id more than k stands for a code
@@ -58,57 +93,44 @@ def nearest_codes(base: DataFrame, queries: DataFrame, *, k: int = 10, bits: int
     entries = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     entries = staged(entries.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     total = entries.count()
-    bits = bits or segment_bits(total)
-    parts = BITS // bits
+    widths = segment_widths(total, bits)
     asked = staged(queries.where("query_id IS NOT NULL AND code IS NOT NULL").select("query_id", "code").distinct(), "code-queries")
-    index = staged(entries.select("code", F.explode(segments(F.col("code"), bits)).alias("x")).select("code", "x.place", "x.value"), "code-index")
-    open_ = staged(asked.select(F.col("code").alias("q")).distinct(), "code-open")
-    depth = min(k + 1, total)
+    placed = entries.select("code", F.get("ids", F.lit(0)).alias("lead"), F.size("ids").alias("m"), F.explode(segments(F.col("code"), widths)).alias("x")).select("code", "lead", "m", "x.place", "x.value")
+    directory = staged(placed.groupBy("place", "value").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "code-directory")
+    dealt = placed.join(directory.hint("merge"), ["place", "value"]).withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
+    index = staged(dealt.select("place", "value", "part", "code", "lead", "m"), "code-index")
+    open_ = staged(asked.select(F.col("code").alias("q")).distinct().withColumn("need", F.lit(len(widths))), "code-open")
+    best = Window.partitionBy("q").orderBy("d", "lead")
+    upto = F.sum("m").over(best.rowsBetween(Window.unboundedPreceding, 0))
     ended: list[DataFrame] = []
-    known = None
-    radius = -1
-    while depth and open_.take(1):
-        reach = radius + 1
-        few = comb(bits, reach) * parts <= max(TOGETHER, total)
-        flips = masks(bits, reach) if few else []
-        # the first radii together, as long as their flips are few; then one by one
-        while few and reach < bits and (len(flips) + comb(bits, reach + 1)) * parts <= TOGETHER:
-            reach += 1
-            flips += masks(bits, reach)
-        if not few:
-            # looking at every code is less work than all flips of this radius: the queries meet the codes in blocks, by an equal key
-            blocks = max(1, total // 4096)
-            each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-            near = open_.withColumn("b", each).join(entries.select("code", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("b")), "b").select("q", "code")
-            covered = BITS
-        else:
-            radius = reach
-            turned = F.array(*[F.lit(m).cast("long") for m in flips])
-            probes = open_.select("q", F.explode(segments(F.col("q"), bits)).alias("x")).select("q", "x.place", F.explode(F.transform(turned, lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
-            near = probes.join(index, ["place", "value"]).select("q", "code")
-            covered = parts * (radius + 1) - 1
-        met = near.withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+    known, radius = None, 1
+    while total and open_.take(1):
+        # the index meets the probes, which are many: neither side is ever sent to all tasks
+        met = None
+        for r in (0, 1) if radius == 1 else (radius,):
+            ways = probes(open_, widths, r).join(directory.hint("merge"), ["place", "value"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+            some = ways.join(index.hint("merge"), ["place", "value", "part"]).where(first_met(widths, r)).select("q", "code", "lead", "m", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
+            met = some if met is None else met.unionByName(some)
         if known is not None:
-            met = met.unionByName(known.join(open_, "q", "left_semi"))
-        best = Window.partitionBy("q").orderBy("d", "lead")
-        ranked = met.distinct().join(entries.select("code", F.get("ids", F.lit(0)).alias("lead"), F.size("ids").alias("m")), "code").withColumn("n", F.row_number().over(best)).where(F.col("n") <= depth)
-        known = staged(ranked.select("q", "code", "d", "m"), "codes-met")
-        # the kth (with the query itself, k + 1st) verified id must lie within what is covered
-        upto = F.sum("m").over(Window.partitionBy("q").orderBy("d", "code"))
-        kth = known.withColumn("upto", upto).where(F.col("upto") >= k + 1).groupBy("q").agg(F.min("d").alias("kth"))
-        known = known.drop("m")
-        if covered >= BITS:
-            ended.append(known)
-            break
-        still = staged(open_.join(kth.where(F.col("kth") <= covered).select("q"), "q", "left_anti"), "code-open")
-        ended.append(known.join(still, "q", "left_anti"))
-        open_ = still
+            met = met.unionByName(known.join(open_.hint("merge"), "q", "left_semi"))
+        known = staged(met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "codes-met")
+        # the kth (with the query itself, k + 1st) verified id must lie within what is covered, or every code there is be met
+        kth = known.withColumn("upto", upto).groupBy("q").agg(F.min(F.when(F.col("upto") >= k + 1, F.col("d"))).alias("kth"), F.count(F.lit(1)).alias("n"))
+        bound = len(widths) * radius - 1 + F.col("need")
+        done = F.coalesce(F.col("kth") <= bound, F.lit(False)) | F.coalesce(F.col("n") == total, F.lit(False)) | F.lit(radius >= max(widths))
+        checked = staged(open_.join(kth.hint("merge"), "q", "left").select("q", "kth", done.alias("done")), "code-checked")
+        need = F.least(F.lit(len(widths)), F.coalesce(F.col("kth"), F.lit(BITS)) - len(widths) * (radius + 1) + 1)
+        open_ = staged(checked.where("NOT done").select("q", need.alias("need")), "code-open")
+        ended.append(known.join(checked.where("done").hint("merge"), "q", "left_semi"))
+        if rounds is not None:
+            rounds.append((radius, open_.count()))
+        radius += 1
     if not ended:
         return asked.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(0).alias("distance")).limit(0)
-    best = ended[0]
+    found = ended[0]
     for x in ended[1:]:
-        best = best.unionByName(x)
-    listed = best.join(entries, "code").select("q", "d", F.explode("ids").alias("id"))
-    answers = asked.join(listed, asked.code == listed.q).where(F.col("id") != F.col("query_id"))
+        found = found.unionByName(x)
+    listed = found.select("q", "code", "d").join(entries.hint("merge"), "code").select("q", "d", F.explode("ids").alias("id"))
+    answers = asked.join(listed.hint("merge"), asked.code == listed.q).where(F.col("id") != F.col("query_id"))
     order = Window.partitionBy("query_id", "q").orderBy("d", "id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.col("d").cast("int").alias("distance"))
