@@ -24,7 +24,11 @@ from .similar import FEATURES, Rows, U, digest, mixed, packed, resolve, shingles
 BRANCH = 0.8
 
 
-def repeats(similar: float, recall: float, depth: int = 2) -> int:
+#: Levels of buckets.
+DEPTH = 3
+
+
+def repeats(similar: float, recall: float, depth: int = DEPTH) -> int:
     """Runs needed: a pair shares at least ``similar`` of the larger set, so a level is survived as a branching process of that mean over BRANCH."""
     p = 1.0
     for _ in range(depth):
@@ -71,7 +75,7 @@ def features(docs: DataFrame, id: str, text: str, runs: int, shingle: int = SHIN
     return staged(docs.select(*dict.fromkeys([id, text])).mapInArrow(run, schema), "near-features")
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = 0.9999, shingle: int = SHINGLE, bucket: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = 0.9999, shingle: int = SHINGLE, bucket: int = 1024, group: int = 1024) -> DataFrame:
     """One row for each row of ``docs``: id, class_id, n_links, copy (0 for one row of each class, that with its id).
 
     Two rows are linked if the Jaccard similarity of their five-word shingles is ``similar`` or more; classes are
@@ -81,11 +85,12 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     has a null class_id.
     """
     rows = features(docs, id, text, repeats(similar, recall), shingle)
-    classes = staged(resolve(rows, similar=similar, split=deeper, bucket=bucket), "near-classes")
+    classes = staged(resolve(rows, similar=similar, split=deeper, depth=DEPTH, bucket=bucket, group=group), "near-classes")
     named = rows.select("id", "uid", "rid").join(classes.select("rid", "copies", "links", "root").hint("merge"), "rid", "left")
     named = staged(named.select("id", "uid", F.coalesce("root", "uid").alias("root"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "near-rows")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("uid"))).alias("first"))
-    return named.join(first, "root").select("id", F.col("first.id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.when(F.col("first.uid") == F.col("uid"), 0).otherwise(1).alias("copy"))
+    # written before it meets the rows, so that Spark can split the join where a class has very many rows
+    first = staged(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("uid"))).alias("first")), "near-firsts")
+    return named.join(first.hint("merge"), "root").select("id", F.col("first.id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.when(F.col("first.uid") == F.col("uid"), 0).otherwise(1).alias("copy"))
 
 
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -3,12 +3,16 @@
 1. Rows whose sets are equal collapse to one representative set, with the number of its copies.
 2. A method (chosen paths, bands) gives each set bucket keys.  Buckets of one set go.
 3. In each bucket, sets are compared by small MinHash signatures, and sets that may be similar are tied.
-   A bucket beyond ``bucket`` sets is dealt out as pairs of blocks, so no task holds more than two blocks.
-4. Ties make candidate groups.  In each group *all* pairs are verified by exact Jaccard similarity, again in
-   pairs of blocks; what leaves a task are numbers of links and spanning ties, never pairs.
+4. Ties make candidate groups, in which *all* pairs are verified by exact Jaccard similarity; what leaves a task
+   are numbers of links and spanning ties, never pairs.
 5. Verified ties make the classes.
 
-So the rows that move are linear in the number of sets even where a third of them are copies or near copies.
+A bucket or group beyond ``bucket`` or ``group`` sets is first compared with one of its sets, the least: each of
+the others gets a level by its distance from it (in a bucket: tied or not).  Two sets so near to it that they must
+be similar to each other need no comparison: they are tied through it, and their links are counted level by level.
+The rest is dealt out as pairs of blocks of one level, so no task holds more than two blocks.  So a group of copies
+with some edits each, a third of all rows say, is linear work; only sets at some distance from the least one meet
+all others of their group.
 """
 
 from __future__ import annotations
@@ -25,20 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SHINGLE, SIMILAR, staged
+from .words import mixed
 
 U = np.uint64
 #: One odd multiplier for each place of a signature and one seed for each run: a rule, no data.
 SIGNATURE = 64
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
 def stream(seed: int, n: int) -> np.ndarray:
     """n pseudo-random 64-bit integers."""
     with np.errstate(over="ignore"):
@@ -74,13 +71,26 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-#: Rows of two or three numbers that are sent to all tasks at most: some 32 MB.
-BOUND = 1_000_000
+#: Bits of a sieve, 64 a row: half a million rows of two numbers at most, whatever the tables' sizes.
+SIEVE = 1 << 25
+
+
+def sieve(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """``big`` without most of the rows whose ``on`` is not in ``small``, ahead of a join that decides.
+
+    The values of ``small`` set bits of a table of SIEVE bits, which is sent to all tasks: a bound that no data
+    change.  The more values there are, the more other rows pass.
+    """
+    place = F.xxhash64(on).bitwiseAND(F.lit(SIEVE - 1).cast("long"))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    bits = small.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    rows = big.withColumn("__word", word).join(F.broadcast(bits), "__word")
+    return rows.where(F.call_function("shiftrightunsigned", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("__word", "__bits")
 
 
 def met(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``big`` join ``small``, a staged table of a few numbers a row: sent to all tasks while it has BOUND rows at most, so that wide rows stay where they are; beyond that, both are dealt out."""
-    return big.join(F.broadcast(small) if small.count() <= BOUND else small.hint("merge"), on, how)
+    """``big`` join ``small``, where few rows of ``big`` are wanted: the sieve keeps most of them where they are, the rest are dealt out."""
+    return sieve(big, small, on).join(small.hint("merge"), on, how)
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -224,7 +234,7 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
 
     rows: group, uid, copies, set, block, i, j.  A task of blocks i < j answers for pairs across, one of i = j for pairs within.
     """
-    num, den = similar.as_integer_ratio() if not float(similar * 100).is_integer() else (round(similar * 100), 100)
+    num, den = as_ratio(similar)
 
     def run(batches):
         for t in grouped(batches, ["group", "uid", "copies", "set", "block", "i", "j"], "group"):
@@ -256,36 +266,109 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, VERIFIED)
 
 
-def dealt(rows: DataFrame, key: str, parts: F.Column, seed: int) -> DataFrame:
-    """Rows of group ``key`` dealt to ``parts`` blocks and to each pair of blocks (i <= j) that holds their own: block, i, j, group."""
+#: Levels within which two sets of a group may be sure to be similar.
+LEVELS = 8
+#: Blocks of one level at most.
+_WIDE = 1 << 24
+
+
+def levels(crowd: DataFrame, key: str, values: DataFrame, value: str, level: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
+    """(key, uid, level) of the rows ``crowd`` (key, uid, parts): ``level(least set's value, values)`` against the set of least uid.
+
+    The least set is sent to each of ``parts`` shares of its group, so no task has a whole group.
+    """
+    least = staged(crowd.groupBy(key).agg(F.min("uid").alias("uid"), F.max("parts").alias("parts")), "near-least")
+    theirs = values.join(least.hint("merge"), "uid").select(key, F.col(value).alias("least"), F.explode(F.expr("sequence(0, cast(parts as int) - 1)")).alias("share"))
+    rows = met(values.select("uid", value), crowd, "uid").withColumn("share", F.pmod(F.xxhash64("uid", F.lit(9)), F.col("parts")).cast("int"))
+
+    def run(batches):
+        for batch in batches:
+            by, uid, least, value_ = (batch.column(c) for c in range(4))
+            by, least, value_ = by.to_numpy(), least.to_pylist(), value_.to_pylist()
+            out = np.zeros(len(by), np.int32)
+            bounds = np.flatnonzero(np.r_[True, by[1:] != by[:-1], True])
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                out[lo:hi] = level(least[lo], value_[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(by), uid, pa.array(out)], names=[key, "uid", "level"])
+
+    joined = rows.join(theirs.hint("merge"), [key, "share"]).select(key, "uid", "least", value)
+    return staged(joined.mapInArrow(run, f"{key} long, uid long, level int"), "near-levels")
+
+
+def dealt(rows: DataFrame, key: str, most: int, limit: int, seed: int) -> DataFrame:
+    """(key, uid, block, i, j, group): rows (key, uid, level, words) dealt to blocks of ``most`` sets of one level and to each pair of blocks (i <= j) of their own, unless the two levels add up to ``limit`` or less."""
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("words") / 1_000_000))
+    sizes = rows.groupBy(key, "level").agg(count.cast("int").alias("parts"))
+    every = staged(sizes.groupBy(key).agg(F.collect_list(F.struct("level", "parts")).alias("every")), "near-blocks")
+    own = F.filter("every", lambda x: x["level"] == F.col("level"))[0]["parts"]
+    others = F.flatten(F.transform(F.filter("every", lambda x: x["level"] + F.col("level") > limit), lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda b: x["level"] * _WIDE + b)))
     return (
-        rows.withColumn("parts", parts.cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .withColumn("i", F.least("block", "other"))
-        .withColumn("j", F.greatest("block", "other"))
-        .withColumn("group", F.when(F.col("parts") == 1, F.col(key)).otherwise(F.xxhash64(key, "i", "j")))
-        .drop("parts", "other")
+        rows.join(every.hint("merge"), key)
+        .withColumn("block", F.col("level") * _WIDE + F.pmod(F.xxhash64("uid", F.lit(seed)), own).cast("int"))
+        .select(key, "uid", "block", F.explode(others).alias("other"))
+        .select(key, "uid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .withColumn("group", F.xxhash64(key, "i", "j"))
     )
 
 
+def agreeing(similar: float) -> Callable[[bytes, list[bytes]], np.ndarray]:
+    """Level 0 for signatures that may belong to sets as similar as that, else 1."""
+    least = least_signature_matches(similar)
+
+    def level(mine: bytes, others: list[bytes]) -> np.ndarray:
+        both = np.frombuffer(b"".join(others), np.uint8).reshape(-1, SIGNATURE) == np.frombuffer(mine, np.uint8)
+        return (both.sum(axis=1) < least).astype(np.int32)
+
+    return level
+
+
+def as_ratio(similar: float) -> tuple[int, int]:
+    return (round(similar * 100), 100) if float(similar * 100).is_integer() else similar.as_integer_ratio()
+
+
+def apart(similar: float) -> Callable[[bytes, list[bytes]], np.ndarray]:
+    """Levels of sets by the elements x that they lack of the least set of n or have beside it: two sets with x + y <= n (1 - similar) / (1 + similar) share n - x - y of n + x + y elements at worst."""
+    num, den = as_ratio(similar)
+
+    def level(mine: bytes, others: list[bytes]) -> np.ndarray:
+        a = unpacked(mine)
+        sets = [unpacked(x) for x in others]
+        size = np.array([len(x) for x in sets])
+        hit = np.isin(np.concatenate(sets), a)
+        shared = np.add.reduceat(hit, np.r_[0, np.cumsum(size)[:-1]])
+        x = np.maximum(len(a) - shared, size - shared)
+        return np.minimum(-(-LEVELS * x * (den + num) // max(1, len(a) * (den - num))), LEVELS + 1).astype(np.int32)
+
+    return level
+
+
+def sure(rows: DataFrame) -> DataFrame:
+    """Links within levels that need no comparison; rows: root, uid, copies, level."""
+    by = rows.groupBy("root", "level").agg(F.sum("copies").alias("n"))
+    every = staged(by.groupBy("root").agg(F.collect_list(F.struct("level", "n")).alias("every")), "near-sure")
+    mine = F.aggregate(F.filter("every", lambda x: x["level"] + F.col("level") <= LEVELS), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    own = F.when(2 * F.col("level") <= LEVELS, F.col("copies")).otherwise(0)
+    return rows.where(F.col("level") <= LEVELS).join(every.hint("merge"), "root").select("uid", (mine - own).alias("links"), "root")
+
+
 def components(ties: DataFrame, label: str) -> DataFrame:
     """(uid, root): the least node of each node's component, for every node of ``ties`` (a, b).
 
     Alternating large and small stars: each round ties a node's neighbours to its least neighbour, so rows never
-    multiply; it ends when a round changes nothing.
+    multiply; it ends when a round changes nothing.  Least neighbours are written before they meet the edges, so
+    both sides of a join are plain shuffles, which Spark splits where a node has very many edges.
     """
     edges = staged(ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-ties")
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h"))
     before = edges.agg(mark).first()
     while before[0]["n"]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # large star: larger neighbours go to the least
-        large = both.where("b > a").join(low, F.col("a") == F.col("v")).select(F.col("m").alias("a"), "b").distinct()
+        # large star: larger neighbours go to the least; a node without smaller neighbours is the least itself
+        low = staged(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m")), f"{label}-low")
+        large = edges.join(low.hint("merge"), F.col("a") == F.col("v"), "left").select(F.coalesce("m", "a").alias("a"), "b")
+        large = staged(large.distinct(), f"{label}-large")
         # small star: a node and its smaller neighbours go to the least of these
-        least = large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))
-        small = large.join(least, F.col("b") == F.col("v")).select("a", "b", "m")
+        least = staged(large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m")), f"{label}-low")
+        small = large.join(least.hint("merge"), F.col("b") == F.col("v")).select("a", "b", "m")
         turned = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
         edges = staged(turned, f"{label}-ties")
         now = edges.agg(mark).first()
@@ -323,16 +406,34 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
     live = calm[0]
     for x in calm[1:]:
         live = live.union(x)
-    parts = F.ceil(F.col("members") / bucket)
-    alike = dealt(live.join(sets.select("uid", "sig").hint("merge"), "uid"), "key", parts, 1)
+    sigs = sets.select("uid", "sig")
+    alike = live.where(F.col("members") <= bucket).select("uid", F.col("key").alias("group")).join(sigs.hint("merge"), "uid")
     ties = tie_alike(alike.select("group", "uid", "sig"), similar)
+    crowd = live.where(F.col("members") > bucket).select("uid", "key", F.ceil(F.col("members") / bucket).alias("parts"))
+    if crowd.take(1):
+        level = levels(crowd, "key", sigs, "sig", agreeing(similar))
+        apart_ = dealt(level.withColumn("words", F.lit(0)), "key", bucket, 0, 1).join(sigs.hint("merge"), "uid")
+        least = staged(level.groupBy("key").agg(F.min("uid").alias("a")), f"{label}-least")
+        near = level.where("level = 0").join(least.hint("merge"), "key").select("a", F.col("uid").alias("b"))
+        ties = ties.union(tie_alike(apart_.select("group", "uid", "sig"), similar)).union(near)
     groups = staged(components(ties, label), f"{label}-groups")
     # blocks are bounded in sets and in words
     sized = groups.join(sets.select("uid", "n").hint("merge"), "uid").join(reps.select("uid", "copies").hint("merge"), "uid")
-    load = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"))
-    narrow = staged(sized.join(load, "root").select("uid", "root", "copies", F.greatest(F.ceil(F.col("members") / group), F.ceil(F.col("words") / 1_000_000)).alias("blocks")), f"{label}-members")
-    members = met(sets.select("uid", "set"), narrow, "uid")
-    checked = staged(verify(dealt(members, "root", F.col("blocks"), 2), similar), f"{label}-links")
+    load = staged(sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("words")), f"{label}-loads")
+    parts = F.greatest(F.ceil(F.col("members") / group), F.ceil(F.col("words") / 1_000_000))
+    narrow = staged(sized.join(load.hint("merge"), "root").select("uid", "root", "copies", F.col("n").alias("words"), parts.alias("parts")), f"{label}-members")
+    one = narrow.where("parts = 1").select("uid", "copies", F.col("root").alias("group"), F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    crowd = narrow.where("parts > 1")
+    checked = []
+    if crowd.take(1):
+        level = levels(crowd.select("uid", "root", "parts"), "root", sets.select("uid", "set"), "set", apart(similar))
+        level = staged(level.join(crowd.select("uid", "copies", "words").hint("merge"), "uid"), f"{label}-levels")
+        apart_ = dealt(level, "root", group, LEVELS, 2).join(level.select("uid", "copies").hint("merge"), "uid")
+        one = one.unionByName(apart_.select("uid", "copies", "group", "block", "i", "j"))
+        checked.append(sure(level))
+    members = met(sets.select("uid", "set"), one, "uid")
+    checked.append(verify(members, similar))
+    checked = staged(checked[0] if len(checked) == 1 else checked[1].union(checked[0]), f"{label}-links")
     links = checked.groupBy("uid").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("uid").alias("a"), F.col("root").alias("b")), label)
     return (

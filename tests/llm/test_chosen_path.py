@@ -53,6 +53,35 @@ def test_all_pairs(spark):
         assert got == {i: x for (i, _), x in zip(docs, spec(docs))}
 
 
+def test_hot_group(spark):
+    """A group of copies with some edits each, far beyond what one block holds, has the links that all pairs tell; few sets of it are compared."""
+    r = random.Random(3)
+    template = [f"v{r.randrange(3000)}" for _ in range(300)]
+    docs = corpus(r, 60)
+    for k in range(60, 260):
+        w = list(template)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 9])):
+            w[r.randrange(len(w))] = f"n{r.random()}"
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.id: (x.class_id, x.n_links) for x in near_duplicates(df, bucket=16, group=8).collect()}
+    assert got == {i: x for (i, _), x in zip(docs, spec(docs))}
+
+
+def test_recall(spark):
+    """On the whole table of sf0.01: classes and links of all pairs that share a shingle."""
+    docs = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    s = [grams(t or "") for _, t in docs]
+    where: dict = {}
+    for k, x in enumerate(s):
+        for g in x:
+            where.setdefault(g, []).append(k)
+    pairs = {(i, j) for ks in where.values() if len(ks) > 1 for i in ks for j in ks if i < j}
+    links = {(i, j) for i, j in pairs if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])}
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert links and sum(x.n_links for x in got.collect()) >= 0.999 * 2 * len(links)
+
+
 def test_odd(odd, none):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     key = lambda x: tuple((v is None, v) for v in x)
