@@ -1,36 +1,38 @@
 """Removal of repeated passages: paragraphs by MinHash bands, passages inside long paragraphs by equal pieces.
 
-Paragraphs are lines.  Those of ``least_words`` or more collide in a band of MinHash values, are verified by
-exact Jaccard similarity of their five-word shingles, and form classes by connected components; of each class
-the first paragraph stays.  A passage inside a longer line is no paragraph, so lines of more than ``long``
+Paragraphs are lines.  They collide in a band of MinHash values; of those that do, features are read, they are
+verified by exact Jaccard similarity of their five-word shingles, and form classes by connected components; of each
+class the first paragraph stays.  A passage inside a longer line is no paragraph, so lines of more than ``long``
 words are also cut where the words themselves say so (at local minima of a hash of two words, within RADIUS
 words either side): equal passages are cut alike wherever they stand.  The words that decide a cut are a piece;
-equal pieces are seeds, and each is extended word by word both ways for as long as it equals the first place of
-its piece.  Up to the next cut's piece is far enough: where both are cut alike there, that piece is a seed, too.
-Repeats that touch are one span; a span goes if it is long enough.
+equal pieces are seeds, and each is extended both ways for as long as it equals the first place of its piece: as
+a whole up to the ends of the next cuts' pieces where a hash says so, else word by word.  Up to there is far
+enough: where both are cut alike, the next piece is a seed, too.  Repeats that touch are one span; a span goes if
+it is long enough.
+
+Words, hashes, minima and cuts are worked out for a whole batch of texts at once.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SHINGLE, SIMILAR, WORD, sliced, staged, text_of, texts
-from .similar import BOUND, FEATURES, Rows, U, digest, met, mixed, mixed_low, packed, resolve, runs, short, signature, stream
+from .common import SHINGLE, SIMILAR, staged, text_of
+from .similar import Rows, U, met, mixed, mixed_low, packed, resolve, sieve, signature, stream
+from .words import Words, slices
 
 #: Words either side that decide whether a line is cut at a word.
 RADIUS = 5
 #: MinHash values of a band.
-BAND = 3
-_WORD = re.compile(WORD)
-_ODD = re.compile(r"[\t\r\x0b\x0c]|^ |  | $", re.M)
+BAND = 2
+
+
+LINE, PIECE = 1, 2
 
 
 def bands(similar: float, recall: float) -> int:
@@ -38,200 +40,220 @@ def bands(similar: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similar**BAND))
 
 
-def band_keys(s: np.ndarray, places: np.ndarray) -> np.ndarray:
-    least = np.full(len(places), np.iinfo(U).max, U)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(s), 4096):
-            least = np.minimum(least, mixed_low(s[at : at + 4096, None] * places).min(axis=0))
-        keys = np.zeros(len(places) // BAND, U)
-        for k in range(BAND):
-            keys = mixed(keys * U(0x9E3779B97F4A7C15) + least[k::BAND])
-        return mixed(keys + np.arange(len(keys), dtype=U)).view(np.int64)
-
-
-def cuts(h: np.ndarray) -> np.ndarray:
-    """Words at which a line is cut: strict minima of the hash of two words among RADIUS words either side, all within the line."""
-    two = runs(h, 2)
-    if len(two) < 2 * RADIUS + 1:
-        return np.empty(0, np.int64)
-    window = np.lib.stride_tricks.sliding_window_view(two, 2 * RADIUS + 1)
-    return np.flatnonzero(window.argmin(axis=1) == RADIUS) + RADIUS
-
-
-def piece(c: int) -> tuple[int, int]:
-    """The words (from, to) that decide the cut at word c."""
-    return c - RADIUS, c + RADIUS + 2
-
-
-def lines_of(text: str):
-    """(start, end, starts and ends of words) of each line; places are code points."""
-    at = 0
-    odd = _ODD.search(text) is not None
-    for line in text.split("\n"):
-        if odd:
-            found = [(m.start() + at, m.end() + at) for m in _WORD.finditer(line)]
-            words = [text[a:b] for a, b in found]
-            starts = np.array([a for a, _ in found], np.int64)
-            ends = np.array([b for _, b in found], np.int64)
-        else:
-            words = line.split(" ") if line else []
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            ends = at + np.cumsum(size + 1) - 1
-            starts = ends - size
-        yield at, at + len(line), words, starts, ends
-        at += len(line) + 1
-
-
-UNITS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType())])
-DOC, LINE, PIECE = 0, 1, 2
-_ARROW = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-
-
-def units_of(text: str, places: np.ndarray, least_words: int, long: int):
-    """(start, end, kind, h, n, set, keys) of each paragraph and piece."""
-    for start, end, words, starts, ends in lines_of(text):
-        n = len(words)
-        if not n:
-            continue
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, n)
-        whole = int(mixed(np.array([xxhash.xxh3_64_intdigest(h.tobytes())], U))[0])
-        s = short(runs(h, SHINGLE)) if n >= max(SHINGLE, least_words) else None
-        yield int(starts[0]), int(ends[-1]), LINE, whole, s
-        if n > long:
-            for a, b in map(piece, cuts(h).tolist()):
-                yield int(starts[a]), int(ends[b - 1]), PIECE, xxhash.xxh3_64_intdigest(h[a:b].tobytes()), None
-
-
-def keyed(docs: DataFrame, text: str, *others: F.Column) -> DataFrame:
-    """The texts with a key: equal texts have equal words at equal places."""
-    return docs.select(*others, F.col(text).alias("text"), F.unhex(F.md5(text_of(text))).alias("key"))
+def band_keys(s: np.ndarray, start: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A row of keys for each of the sets s[start:next start]."""
+    keys = np.zeros((len(places) // BAND, len(start)), U)
+    if len(start):
+        with np.errstate(over="ignore"):
+            for k, place in enumerate(places):
+                least = np.minimum.reduceat(mixed_low(s * place), start)
+                keys[k // BAND] = mixed(keys[k // BAND] * U(0x9E3779B97F4A7C15) + least)
+            keys = mixed(keys + np.arange(len(keys), dtype=U)[:, None])
+    return np.ascontiguousarray(keys.T).view(np.int64)
 
 
-def units(docs: DataFrame, id: str, text: str, places: np.ndarray, least_words: int, long: int) -> DataFrame:
-    """Documents (rid: key of the text), paragraphs and pieces."""
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(start - before, size)
 
-    def run(batches):
-        rows = Rows()
-        for batch in sliced(batches, 128):
-            out: list[list] = [[] for _ in range(11)]
-            ids: list[int] = []
-            keys = batch.column("key").to_pylist()
-            for k, value in enumerate(texts(batch, "text")):
-                doc = rows.take()
-                found = [(0, len(value), DOC, 0, None), *units_of(value, places, least_words, long)]
-                for start, end, kind, h, s in found:
-                    ids.append(k)
-                    if s is None:
-                        row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, None, keys[k] if kind == DOC else None, 0, None, None, None)
-                    else:
-                        row = (doc, start, end, kind, h - (1 << 64) if h >= 1 << 63 else h, rows.take(), digest(s), len(s), signature(s), packed(s), band_keys(s, places))
-                    for c, v in zip(out, row):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int32()))] + [pa.array(c, t) for c, t in zip(out, _ARROW)], names=["id", *UNITS.names, *FEATURES.names])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType)] + UNITS.fields + FEATURES.fields)
-    return staged(keyed(docs, text, F.col(id).alias("id")).mapInArrow(run, schema), "passage-units")
 
+def pieces(w: Words, long: int):
+    """Of each piece of the long lines: its line, the words from and up to which it goes, and those up to which it is extended."""
+    n = len(w) - 1
+    if n < 2 * RADIUS + 1:
+        return (np.empty(0, np.int64),) * 5
+    two = w.runs(2)
+    least = np.ones(n, bool)
+    for d in range(1, RADIUS + 1):
+        least[d:] &= two[d:] < two[:-d]
+        least[:-d] &= two[:-d] <= two[d:]
+    line = w.line()
+    c = np.flatnonzero(least)
+    own = line[c]
+    inside = (c - RADIUS >= w.first[own]) & (c + RADIUS + 2 <= w.last[own]) & (w.last[own] - w.first[own] > long)
+    c, own = c[inside], own[inside]
+    a, b = c - RADIUS, c + RADIUS + 2
+    same = own[1:] == own[:-1]
+    lo, hi = w.first[own], w.last[own]
+    lo[1:] = np.where(same, a[:-1], lo[1:])
+    hi[:-1] = np.where(same, b[1:], hi[:-1])
+    return own, a, b, lo, hi
 
-def beside(text: str, wanted: list[int], long: int):
-    """(start, left, right) of the pieces that start at the wanted places: what stands beside each in its line, up to the ends of the next cuts' pieces."""
-    left = set(wanted)
-    for start, end, words, starts, ends in lines_of(text):
-        n = len(words)
-        if n <= long or not any(start <= x < end for x in left):
-            continue
-        at = [piece(c) for c in cuts(np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, n)).tolist()]
-        for k, (a, b) in enumerate(at):
-            if (place := int(starts[a])) in left:
-                lo = at[k - 1][0] if k else 0
-                hi = at[k + 1][1] if k + 1 < len(at) else n
-                yield place, text[starts[lo] : place], text[ends[b - 1] : ends[hi - 1]]
 
+def signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
 
-def contexts(docs: DataFrame, text: str, wanted: DataFrame, long: int) -> DataFrame:
-    """(key, start, left, right) for each wanted (key, start); texts that are not wanted stay where they are."""
 
-    def run(batches):
-        for batch in sliced(batches, 128):
-            found = [(k, *x) for k, (value, starts) in enumerate(zip(texts(batch, "text"), batch.column("starts").to_pylist())) for x in beside(value, starts, long)]
-            k, start, left, right = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(k, pa.int32())), pa.array(start, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["key", "start", "left", "right"])
+UNITS = {
+    "doc": "long",
+    "key": "binary",
+    "n": "int",
+    "lines": "array<struct<start:int,end:int,h:long,keys:array<long>>>",
+    "pieces": "array<struct<start:int,end:int,lo:int,hi:int,h:long,g:long>>",
+}
+
+
+def ddl(fields: dict[str, str]) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
+
+
+def lists(owner: np.ndarray, rows: int, fields: dict[str, pa.Array]) -> pa.Array:
+    """Records by their (sorted) owners as one list for each of ``rows`` rows."""
+    offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
-    wanted = staged(wanted.groupBy("key").agg(F.collect_set("start").alias("starts")), "passage-wanted")
-    rows = keyed(docs, text)
-    if wanted.count() <= BOUND:
-        rows = rows.join(F.broadcast(wanted.select("key")), "key", "left_semi")
-    found = rows.join(wanted.hint("merge"), "key").mapInArrow(run, "key binary, start int, left string, right string")
-    return staged(found.dropDuplicates(["key", "start"]), "passage-contexts")
+
+def line_hash(w: Words) -> np.ndarray:
+    return mixed(w.run(w.first, w.last) + U(1))
+
+
+def small(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def keyed(docs: DataFrame, text: str, *others: Column) -> DataFrame:
+    """The texts with a key: equal texts have equal words at equal places."""
+    return docs.select(*others, F.col(text).alias("text"), F.unhex(F.md5(text_of(text))).alias("key"))
+
+
+def units(docs: DataFrame, id: str, text: str, places: np.ndarray, least_words: int, least_chars: int, long: int) -> DataFrame:
+    """For each document its paragraphs (those that can be similar to others with band keys) and pieces."""
+
+    def run(batches):
+        rows = Rows()
+        for batch in slices(batches, "text"):
+            w, n = Words(batch.column("text")), batch.num_rows
+            doc = w.doc[w.first]
+            start, end = w.start[w.first], w.end[w.last - 1]
+            size = w.last - w.first
+            banded = (size >= SHINGLE) & ((size >= least_words) | (end - start >= least_chars))
+            count = size[banded] - SHINGLE + 1
+            keys = band_keys((w.runs(SHINGLE) >> U(24))[ranges(w.first[banded], count)], np.cumsum(count) - count, places)
+            offsets = np.r_[0, np.cumsum(banded) * keys.shape[1]].astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
+            lines = lists(doc, n, {"start": small(start), "end": small(end), "h": signed(line_hash(w)), "keys": keys})
+            own, a, b, lo, hi = pieces(w, long)
+            with np.errstate(over="ignore"):
+                around = mixed(w.run(lo, hi) + (a - lo).astype(U))
+            inside = lists(
+                doc[own] if len(own) else own, n, {"start": small(w.start[a]), "end": small(w.end[b - 1]), "lo": small(w.start[lo]), "hi": small(w.end[hi - 1]), "h": signed(w.run(a, b)), "g": signed(around)}
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([rows.take() for _ in range(n)], pa.int64()), batch.column("key"), small(w.chars), lines, inside], names=["id", *UNITS])
+
+    schema = ddl({"id": docs.schema[id].dataType.simpleString()} | UNITS)
+    return staged(keyed(docs, text, F.col(id).alias("id")).mapInArrow(run, schema), "passage-units")
 
 
-def common(a: list[str], b: list[str]) -> int:
-    """Equal words at the front."""
-    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+DETAILS = {
+    "h": "long",
+    "n": "int",
+    "sig": "binary",
+    "set": "binary",
+    "keys": "array<long>",
+    "start": "int",
+    "before": "array<long>",
+    "before_at": "array<int>",
+    "after": "array<long>",
+    "after_at": "array<int>",
+}
 
 
-def extended(seeds: DataFrame) -> DataFrame:
-    """(doc, start, end): seeds (doc, start, end, left, right, left0, right0) with the words in which both sides equal those of the first place."""
+def details(docs: DataFrame, text: str, wanted: DataFrame, places: np.ndarray, long: int) -> DataFrame:
+    """Read again of wanted texts (key, paragraphs: their starts, seeds: starts of pieces): features of the paragraphs (h not null), and the words beside the pieces, nearest first, with the places to which they reach."""
 
     def run(batches):
-        for batch in sliced(batches):
-            start, end = batch.column("start").to_pylist(), batch.column("end").to_pylist()
-            sides = zip(*(batch.column(c).to_pylist() for c in ("left", "right", "left0", "right0")))
-            for k, (left, right, left0, right0) in enumerate(sides):
-                found = [(m.start(), m.group()) for m in _WORD.finditer(left)][::-1]
-                n = common([w for _, w in found], _WORD.findall(left0)[::-1])
-                if n:
-                    start[k] -= len(left) - found[n - 1][0]
-                found = [(m.end(), m.group()) for m in _WORD.finditer(right)]
-                n = common([w for _, w in found], _WORD.findall(right0))
-                if n:
-                    end[k] += found[n - 1][0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc", "start", "end"])
-
-    return seeds.select("doc", "start", "end", "left", "right", "left0", "right0").mapInArrow(run, "doc long, start int, end int")
+        for batch in slices(batches, "text"):
+            w = Words(batch.column("text"))
+            doc, at = w.doc[w.first], w.start[w.first]
+            own, a, b, lo, hi = pieces(w, long)
+            lines = [set(x or ()) for x in batch.column("paragraphs").to_pylist()]
+            seeds = [set(x or ()) for x in batch.column("seeds").to_pylist()]
+            source, out = [], []
+            whole = line_hash(w).view(np.int64)
+            for k in [k for k, (d, x) in enumerate(zip(doc.tolist(), at.tolist())) if x in lines[d]]:
+                s = np.unique(w.run(x := np.arange(w.first[k], w.last[k] - SHINGLE + 1), x + SHINGLE) >> U(24))
+                source.append(doc[k])
+                out.append((int(whole[k]), len(s), signature(s), packed(s), band_keys(s, np.zeros(1, np.int64), places)[0], None, None, None, None, None))
+            for k in [k for k, (d, x) in enumerate(zip(doc[own].tolist() if len(own) else (), w.start[a].tolist())) if x in seeds[d]]:
+                left, right = slice(lo[k], a[k]), slice(b[k], hi[k])
+                h = w.h.view(np.int64)
+                source.append(w.doc[a[k]])
+                out.append((None, 0, None, None, None, int(w.start[a[k]]), h[left][::-1], w.start[left][::-1].astype(np.int32), h[right], w.end[right].astype(np.int32)))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(source, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", *DETAILS])
+
+    found = sieve(keyed(docs, text), wanted, "key").join(wanted.hint("merge"), "key").mapInArrow(run, ddl({"key": "binary"} | DETAILS))
+    return staged(found, "passage-details")
+
+
+def equal_words(a: Column, b: Column) -> Column:
+    """Equal values at the front of two arrays."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
 
 
 def repeated_passages(
-    docs: DataFrame, *, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = 0.999, least_words: int = 20, long: int = 40, least_chars: int = 110, bucket: int = 1024
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = 0.999, least_words: int = 20, long: int = 40, least_chars: int = 110, bucket: int = 1024, group: int = 1024
 ) -> DataFrame:
     """One row for each row of ``docs``: id, n_chars, n_removed (code points), spans (array of start and end of what goes, in code points).
 
     Of equal or similar paragraphs and of equal passages inside lines the first by id (null last), row and place
-    stays.  A passage inside a line is found by its pieces and goes to its last word on either side, as far as it
-    equals the first place of the piece next to that side.  A span goes if it has ``least_chars`` code points, or
-    half of them and a piece.  ``docs`` is read twice; only texts with such passages are read again in full.  Null, empty and short texts lose nothing; of repeated rows the later ones lose
-    their long enough paragraphs.
+    stays.  Paragraphs of five words are compared by similarity if they have ``least_words`` or ``least_chars``, by
+    equality always.  A passage inside a line is found by its pieces and goes to its last word on either side, as
+    far as it equals the first place of the piece next to that side.  A span goes if it has ``least_chars`` code
+    points, or half of them and a piece.  ``docs`` is read twice; texts with nothing to look at again stay where
+    they are.  Null, empty and short texts lose nothing; of repeated rows the later ones lose their long enough
+    paragraphs.
     """
     places = stream(11, BAND * bands(similar, recall)) | U(1)
-    rows = units(docs, id, text, places, least_words, long)
+    rows = units(docs, id, text, places, least_words, least_chars, long)
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc"), F.col("start"))
-    spans = rows.where(F.col("kind") != DOC).select("id", "doc", "start", "end", "kind", "h")
+    lines = rows.select("id", "doc", F.explode("lines").alias("x")).select("id", "doc", "x.start", "x.end", "x.h")
+    spans = lines.withColumns({"kind": F.lit(LINE), "lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int"), "g": F.lit(None).cast("long")})
+    inside = rows.select("id", "doc", F.explode("pieces").alias("x")).select("id", "doc", "x.start", "x.end", "x.h", F.lit(PIECE).alias("kind"), "x.lo", "x.hi", "x.g")
+    spans = spans.unionByName(inside)
     # only hashes move to find those that repeat; places move for those alone
     often = staged(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "passage-repeats")
     again = staged(met(spans, often, "h", "left_semi"), "passage-again")
-    first = again.groupBy("h", "kind").agg(F.min(order).alias("first"))
-    equal = again.join(first.hint("merge"), ["h", "kind"]).where(order != F.col("first"))
-    equal = staged(equal.select("doc", "start", "end", "kind", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")), "passage-equal")
-    near = resolve(rows.where(F.col("kind") == LINE).select(*FEATURES.names), similar=similar, bucket=bucket, label="passage").where("links > 0").select("rid", "root")
-    lines = rows.where((F.col("kind") == LINE) & F.col("rid").isNotNull()).select("id", "doc", "start", "end", "kind", "rid")
-    lines = staged(met(lines, staged(near, "passage-near"), "rid"), "passage-lines")
-    lead = lines.groupBy("root").agg(F.min(order).alias("first"))
-    alike = lines.join(lead.hint("merge"), "root").where(order != F.col("first")).select("doc", "start", "end", "kind")
-    whole = staged(equal.where(F.col("kind") == LINE).select("doc", "start", "end", "kind").union(alike), "passage-whole")
-    # pieces in lines that go as a whole need no extension
-    lost = whole.where(F.col("end") - F.col("start") >= least_chars).select("doc", "start", "end", "kind", F.lit(None).cast("long").alias("doc0"), F.lit(None).cast("int").alias("start0"))
-    so_far = Window.partitionBy("doc").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seeds = equal.where(F.col("kind") == PIECE).union(lost).withColumn("lost", F.max(F.when(F.col("kind") == LINE, F.col("end"))).over(so_far))
-    seeds = seeds.where((F.col("kind") == PIECE) & (F.col("lost").isNull() | (F.col("lost") < F.col("end"))))
-    names = rows.where(F.col("kind") == DOC).select("doc", F.col("rid").alias("key"))
-    seeds = seeds.select("doc", "start", "end", "doc0", "start0").join(names.hint("merge"), "doc").join(names.select(F.col("doc").alias("doc0"), F.col("key").alias("key0")).hint("merge"), "doc0")
-    seeds = staged(seeds.select("doc", "start", "end", "key", "key0", "start0"), "passage-seeds")
-    sides = contexts(docs, text, seeds.select("key", "start").union(seeds.select("key0", "start0")), long)
-    theirs = sides.select(F.col("key").alias("key0"), F.col("start").alias("start0"), F.col("left").alias("left0"), F.col("right").alias("right0"))
-    inside = extended(seeds.join(sides.hint("merge"), ["key", "start"]).join(theirs.hint("merge"), ["key0", "start0"])).withColumn("kind", F.lit(PIECE))
+    lead = F.struct(*[F.col(f"first.{c}") for c in ("last", "id", "doc", "start")])
+    first = staged(again.groupBy("h", "kind").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "doc", "start", "g")).alias("first")), "passage-first")
+    equal = again.join(first.hint("merge"), ["h", "kind"]).where(order != lead)
+    equal = staged(equal.select("doc", "start", "end", "kind", "lo", "hi", (F.col("g") == F.col("first.g")).alias("alike"), F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")), "passage-equal")
+    # different paragraphs that collide in a band
+    bands_ = rows.select("doc", F.explode("lines").alias("x")).where(F.size("x.keys") > 0).select("doc", "x.start", "x.h", F.explode("x.keys").alias("band"))
+    crowds = staged(bands_.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("band"), "passage-bands")
+    close = met(bands_, crowds, "band", "left_semi").groupBy("h").agg(F.min(F.struct("doc", "start")).alias("at")).select("h", "at.doc", "at.start")
+    close = staged(close, "passage-close")
+    # the words beside a seed are looked at where hashes do not settle it
+    torn = equal.where((F.col("kind") == PIECE) & ~F.col("alike"))
+    asked = close.select("doc", "start", F.lit(LINE).alias("kind")).union(torn.select("doc", "start", "kind")).union(torn.select("doc0", "start0", "kind"))
+    names = rows.select("doc", "key")
+    asked = met(names, staged(asked.distinct(), "passage-asked"), "doc")
+    starts = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("start")))
+    wanted = staged(asked.groupBy("key").agg(starts(LINE).alias("paragraphs"), starts(PIECE).alias("seeds")), "passage-wanted")
+    found = details(docs, text, wanted, places, long)
+    sets = staged(found.where("h IS NOT NULL").dropDuplicates(["h"]).select(F.col("h").alias("uid"), F.md5("set").cast("binary").alias("rid"), "n", "sig", "set", "keys"), "passage-sets")
+    near = resolve(sets, similar=similar, bucket=bucket, group=group, label="passage").where("links > 0 OR copies > 1").select("rid", "root")
+    near = staged(sets.select(F.col("uid").alias("h"), "rid").join(near.hint("merge"), "rid").select("h", "root"), "passage-near")
+    kin = staged(met(lines, near, "h"), "passage-lines")
+    lead = staged(kin.groupBy("root").agg(F.min(order).alias("first")), "passage-leads")
+    alike = kin.join(lead.hint("merge"), "root").where(order != F.col("first")).select("doc", "start", "end", F.lit(LINE).alias("kind"))
+    whole = equal.where(F.col("kind") == LINE).select("doc", "start", "end", "kind").union(alike)
+    sides = staged(found.where("start IS NOT NULL").select("key", "start", "before", "before_at", "after", "after_at").dropDuplicates(["key", "start"]), "passage-sides")
+    torn = met(names, torn.select("doc", "start", "end", "doc0", "start0"), "doc").withColumnRenamed("key", "key1")
+    torn = torn.join(met(names, torn.select(F.col("doc0").alias("doc")).distinct(), "doc").withColumnsRenamed({"doc": "doc0", "key": "key0"}).hint("merge"), "doc0")
+    mine = sides.withColumnsRenamed({"key": "key1"})
+    theirs = sides.select(F.col("key").alias("key0"), F.col("start").alias("start0"), F.col("before").alias("before0"), F.col("after").alias("after0"))
+    torn = torn.join(mine.hint("merge"), ["key1", "start"]).join(theirs.hint("merge"), ["key0", "start0"])
+    left, right = equal_words(F.col("before"), F.col("before0")), equal_words(F.col("after"), F.col("after0"))
+    reach = lambda n, at, none: F.when(n > 0, F.element_at(at, n)).otherwise(F.col(none))
+    torn = torn.withColumns({"l": left, "r": right}).select("doc", reach(F.col("l"), "before_at", "start").alias("start"), reach(F.col("r"), "after_at", "end").alias("end"), F.lit(PIECE).alias("kind"))
+    full = equal.where((F.col("kind") == PIECE) & F.col("alike")).select("doc", F.col("lo").alias("start"), F.col("hi").alias("end"), "kind")
     by_doc = Window.partitionBy("doc").orderBy("start", "end")
     runs_ = (
-        whole.union(inside)
+        whole.union(full).union(torn)
         .withColumn("reach", F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 2), 1).otherwise(0))
         .withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
@@ -242,9 +264,8 @@ def repeated_passages(
     gone = runs_.groupBy("doc").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return (
-        rows.where(F.col("kind") == DOC)
-        .select("id", "doc", F.col("end").cast("long").alias("n_chars"))
-        .join(gone, "doc", "left")
+        rows.select("id", "doc", F.col("n").cast("long").alias("n_chars"))
+        .join(gone.hint("merge"), "doc", "left")
         .select("id", "n_chars", F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", none).alias("spans"))
     )
 

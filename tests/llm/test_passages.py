@@ -54,6 +54,54 @@ def test_inline_to_the_last_word(spark):
     assert not any(got[k] for k in range(0, 600, 2))
 
 
+def by_all_pairs(docs, least_words=20, least_chars=110):
+    """Spans that go, from comparing every pair of paragraphs; for texts without lines of over 40 words."""
+    lines = []
+    for k, text in docs:
+        at = 0
+        for line in text.split("\n"):
+            if line.split():
+                lead = len(line) - len(line.lstrip())
+                lines.append((k, at + lead, at + len(line.rstrip()), line.split()))
+            at += len(line) + 1
+    lines.sort(key=lambda x: x[:2])
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 and (len(w) >= least_words or b - a >= least_chars) else set() for _, a, b, w in lines]
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if lines[i][3] == lines[j][3] or grams[i] and grams[j] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    spans: dict = {k: [] for k, _ in docs}
+    for x, (k, a, b, _) in zip(label, lines):
+        if lines[x][:2] != (k, a):
+            if spans[k] and a <= spans[k][-1][1] + 2:
+                spans[k][-1] = (spans[k][-1][0], b)
+            else:
+                spans[k].append((a, b))
+    return {k: [x for x in v if x[1] - x[0] >= least_chars] for k, v in spans.items()}
+
+
+def test_all_paragraph_pairs(spark):
+    r = random.Random(4)
+    pool = [prose(r, r.choice([3, 6, 14, 19, 25, 40])) for _ in range(60)]
+    docs = []
+    for k in range(90):
+        lines = []
+        for _ in range(r.randint(0, 7)):
+            w = r.choice(pool).split()
+            if r.random() < 0.5:
+                w[r.choice([0, -1, r.randrange(len(w))])] = prose(r, 1)
+            lines.append(r.choice(["", " "]) + " ".join(w) + r.choice(["", "  "]) if r.random() < 0.8 else prose(r, 30))
+        docs.append((k, "\n".join(lines)))
+    expected = by_all_pairs(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for bucket, group in ((1024, 1024), (8, 4)):  # 8 and 4: hot buckets and groups meet their least set first
+        got = {x.id: [(y.start, y.end) for y in x.spans] for x in repeated_passages(df, bucket=bucket, group=group).collect()}
+        assert got == expected
+    assert sum(map(bool, expected.values())) > 30
+
+
 def test_odd(odd, none):
     rows = repeated_passages(odd, least_words=5, least_chars=20).collect()
     assert len(rows) == odd.count() and repeated_passages(none).count() == 0
