@@ -2,15 +2,21 @@
 
 The standard library's parser streams events; a block's text is a line.  A line's ratio is its characters outside
 links over its tags.  Ratios are smoothed by a Gaussian, and lines above the standard deviation of the smoothed
-ratios cluster into content regions.  Lines under elements that by their name, class, id or role are no article
-(menus, footers, adverts, forms, comments) have ratio 0 and are never selected.  The innermost element that holds
-most of the selected text is the article; short lines between long ones belong to it.
+ratios cluster into content regions.  The lowest element that holds all of them is the article: its short lines
+belong to it, its runs of links do not, and where it is the whole page it goes from the first to the last region.
+
+Elements whose name, class, id or role tells that they are no article (menus, footers, adverts, forms, comments)
+have ratio 0, unless they are wrappers: a page's main heading or most of its text lies in them.
+
+All is linear in the page: elements are numbers with parents, and what an element holds is summed from the last
+element to the first.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,93 +30,146 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = frozenset("script style noscript template iframe svg math object canvas audio video head title select textarea button nav footer aside form dialog menu".split())
-#: Words of a class or id that mark what is no article.
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|side-?bar|widgets?|menu|nav\w*|breadcrumbs?|masthead|site-header|page-header|top-?bar|foot\w*|copyright|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|share\w*|sharing|social|related|recommend\w*|pagination|pager|log-?in|sign-?up|search\w*|skip\w*|toolbar|hidden)(?:$|[\s_-])",
-    re.I,
-)
+SILENT = frozenset("script style noscript template iframe svg math object canvas audio video head title select textarea button".split())
+#: Elements that are no article unless its heading is in them; a form may also be the wrapper of a page.
+BESIDE = frozenset("nav footer aside form dialog menu".split())
+#: Words of a class or id that mark what is no article, as its only, first or last part.  The strong ones may hold more text than the article does.
+STRONG = r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w+|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond"
+WEAK = r"banner|promo\w*|notices?|alert|side-?bar|widgets?|menu|nav\w*|breadcrumbs?|masthead|site-header|page-header|top-?bar|foot\w*|copyright|share\w*|sharing|social|related|recommend\w*|pagination|pager|log-?in|sign-?up|search\w*|skip\w*|toolbar|hidden"
+#: First parts of a class that speaks of something else on the page.
+ABOUT = r"(?:has|no|with|without|hide|show|is|not)[_-]"
+
+
+def _words(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s)(?!{ABOUT})(?:(?:{words})(?:[_-]\S*)?|\S*[_-](?:{words}))(?=\s|$)", re.I)
+
+
+MARKS = ((2, _words(STRONG)), (1, _words(WEAK)))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 SIGMA, RADIUS = 1.0, 2
-#: Share of the selected text that the article must hold.
-MOST = 0.9
+#: Share of the text that a wrapper holds, and that an element holds which says it is the article.
+WRAPPER, MOST = 0.5, 0.9
+#: Lines of links in a row that make a menu.
+MENU = 3
+_TORN = re.compile(r"<[A-Za-z/!?]")
+#: Marks of elements: none, a word that wrappers have too, a word that none has, an element beside the article, nothing to read.
+NONE, SOFT, HARD, NAMED, NEVER = range(5)
 
 
 class Events(HTMLParser):
-    """Lines (text, characters outside links, tags, path of open elements, whether they are aside) in page order."""
+    """Lines (text, characters outside links, tags, innermost element) in page order, and elements by number: name, parent, mark."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.names: list[str] = []  # of all elements seen, by number
-        self.open: list[tuple[int, str, bool]] = []  # number, name, aside
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.names, self.parents, self.marks = [""], [0], [NONE]  # element 0 is the page
+        self.open: list[int] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # places in ``open`` by name
+        self.blocks: list[int] = []  # places in ``open`` of blocks
         self.parts: list[str] = []
-        self.tags = self.linked = 0
+        self.plain: list[str] = []
+        self.tags = 0
 
     def flush(self):
-        words = " ".join("".join(self.parts).split())
-        if words:
-            aside = bool(self.open) and self.open[-1][2]
-            self.lines.append((words, max(0, len(words) - self.linked), max(1, self.tags), tuple(n for n, _, _ in self.open), aside))
+        if words := " ".join("".join(self.parts).split()):
+            plain = len(" ".join("".join(self.plain).split()))
+            self.lines.append((words, plain, max(1, self.tags), self.open[-1] if self.open else 0))
             self.tags = 0
-        self.parts, self.linked = [], 0
+        self.parts, self.plain = [], []
+
+    def close_from(self, place: int):
+        for k in range(len(self.open) - 1, place - 1, -1):
+            name = self.names[self.open.pop()]
+            self.at[name].pop()
+            if self.blocks and self.blocks[-1] == k:
+                self.blocks.pop()
+
+    def mark(self, tag: str, attrs) -> int:
+        a = dict(attrs)
+        if tag in SILENT or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
+            return NEVER
+        if tag in ("html", "body"):
+            return NONE
+        said = f"{a.get('class') or ''} {a.get('id') or ''}"
+        word = next((k for k, pattern in MARKS if pattern.search(said)), NONE)
+        if word == HARD:
+            return HARD
+        if tag in BESIDE and tag != "form" or (a.get("role") or "").lower() in ROLES or tag == "header" and not (self.at["article"] or self.at["main"]):
+            return NAMED
+        return SOFT if word or tag == "form" else NONE
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
             # a block ends an open paragraph
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][1] == "p":
-                    del self.open[k:]
-                    break
-                if self.open[k][1] in BLOCK:
-                    break
+            if self.blocks and self.names[self.open[self.blocks[-1]]] == "p":
+                self.close_from(self.blocks[-1])
         elif tag == "br":
-            self.parts.append(" ")
+            self.handle_data(" ")
         self.tags += 1
         if tag in VOID:
             return
-        a = dict(attrs)
-        inside = any(name in ("article", "main") for _, name, _ in self.open)
-        aside = (
-            bool(self.open)
-            and self.open[-1][2]
-            or tag in SILENT
-            or tag == "header"
-            and not inside
-            or tag not in ("html", "body", "article", "main")
-            and (ASIDE.search(f"{a.get('class') or ''} {a.get('id') or ''}") is not None or (a.get("role") or "").lower() in ROLES)
-            or "hidden" in a
-            or a.get("aria-hidden") == "true"
-            or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-        )
         self.names.append(tag)
-        self.open.append((len(self.names) - 1, tag, aside))
+        self.parents.append(self.open[-1] if self.open else 0)
+        self.marks.append(self.mark(tag, attrs))
+        self.at[tag].append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(len(self.names) - 1)
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][1] == tag:
-                del self.open[k:]
-                break
-            if self.open[k][1] in BLOCK and tag not in BLOCK:
-                break
+        # no end of an inline element closes a block around it
+        if self.at[tag] and (tag in BLOCK or not self.blocks or self.at[tag][-1] > self.blocks[-1]):
+            self.close_from(self.at[tag][-1])
 
     def handle_data(self, data):
-        if self.open and self.open[-1][1] in ("script", "style"):
+        if self.open and self.names[self.open[-1]] in ("script", "style"):
             return
         self.parts.append(data)
-        if any(name == "a" for _, name, _ in self.open):
-            self.linked += len(data.strip())
+        self.plain.append(" " if self.at["a"] else data)
+
+
+def summed(values: list[int], parents: list[int]) -> list[int]:
+    """What each element and all in it have."""
+    out = list(values)
+    for k in range(len(out) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
+
+
+def inherited(own: list[bool], parents: list[int]) -> list[bool]:
+    out = list(own)
+    for k in range(1, len(out)):
+        out[k] = out[k] or out[parents[k]]
+    return out
+
+
+def beside(parser: Events) -> list[bool]:
+    """For each element whether it is, or lies in, what is no article."""
+    parents, marks, names = parser.parents, parser.marks, parser.names
+    never = inherited([m == NEVER for m in marks], parents)
+    text = [0] * len(names)
+    for _, plain, _, node in parser.lines:
+        text[node] += 0 if never[node] else plain
+    text = summed(text, parents)
+    # the article's landmark: an element that says so and holds most of the text, else the first main heading
+    said = [k for k, n in enumerate(names) if n in ("article", "main") and marks[k] in (NONE, SOFT) and text[k] >= WRAPPER * text[0] and text[k]]
+    marked = inherited([m in (HARD, NAMED, NEVER) for m in marks], parents)
+    mark = max(said, default=None) or next((k for k, n in enumerate(names) if n == "h1" and not marked[k]), None)
+    around = set()
+    while mark:
+        around.add(mark)
+        mark = parents[mark]
+    wraps = [k in around or m == SOFT and text[0] > 0 and text[k] >= WRAPPER * text[0] for k, m in enumerate(marks)]
+    return inherited([m == NEVER or m != NONE and not w for m, w in zip(marks, wraps)], parents)
 
 
 def smoothed(ratio: list[float]) -> list[float]:
@@ -123,39 +182,57 @@ def smoothed(ratio: list[float]) -> list[float]:
 def content(html: str, chunk: int = 1 << 16) -> str:
     """Blocks of the article, joined by line breaks; '' if the page has none."""
     parser = Events()
+    # a tag that the page's end leaves open is none; the standard parser would look at the rest again for each
+    if torn := _TORN.search(html, html.rfind(">") + 1):
+        html = html[: torn.start()]
     for at in range(0, len(html), chunk):
         parser.feed(html[at : at + chunk])
     parser.close()
     parser.flush()
-    lines = parser.lines
-    ratio = [0.0 if aside else plain / tags for _, plain, tags, _, aside in lines]
-    level = smoothed(ratio)
-    if not level:
+    names, parents = parser.names, parser.parents
+    aside = beside(parser)
+    lines = [x for x in parser.lines if not aside[x[3]]]
+    if not lines:
         return ""
+    # what is aside keeps its place among the ratios, with none of its own
+    ratio = [0.0 if aside[node] else plain / tags for _, plain, tags, node in parser.lines]
+    level = smoothed(ratio)
     mean = sum(level) / len(level)
     least = math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
-    chosen = [k for k, x in enumerate(level) if x > least and ratio[k] > 0] or [k for k, x in enumerate(ratio) if x > 0]
+    places = [k for k, x in enumerate(parser.lines) if not aside[x[3]]]
+    chosen = [k for k, p in enumerate(places) if level[p] > least and ratio[p] > 0] or [k for k, p in enumerate(places) if ratio[p] > 0]
     if not chosen:
         return ""
-    weight: dict[int, int] = {}
+    plain, count = [0] * len(names), [0] * len(names)
     for k in chosen:
-        for node in lines[k][3]:
-            weight[node] = weight.get(node, 0) + lines[k][1]
-    whole = sum(lines[k][1] for k in chosen)
-    holds = [node for node, w in weight.items() if w >= MOST * whole and parser.names[node] in BLOCK and parser.names[node] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt")]
-    article = max(holds, default=None)
-    outer = [node for node, w in weight.items() if w >= MOST * whole and parser.names[node] in ("article", "main")]
-    if outer:  # an element that says it is the article
-        article = max((n for n in outer if parser.names[n] == "article"), default=max(outer))
-    if article is None or parser.names[article] in ("body", "html"):
+        plain[lines[k][3]] += lines[k][1]
+        count[lines[k][3]] += 1
+    plain, count = summed(plain, parents), summed(count, parents)
+    said = [k for k, n in enumerate(names) if n in ("article", "main") and plain[k] >= MOST * plain[0]]
+    article = next((k for k in said[::-1] if names[k] == "article"), max(said, default=None))
+    if article is None:
+        article = max(k for k, n in enumerate(count) if n == len(chosen))
+        while names[article] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "table", "tbody", "tr", "td") or names[article] not in BLOCK and article:
+            article = parents[article]
+    inside = [False] * len(names)
+    inside[article] = True
+    inside = inherited(inside, parents)
+    first, last = chosen[0], chosen[-1]
+    whole = names[article] in ("", "html", "body")
+    if whole:
         # no element of its own: from the first to the last selected line, with the headings before
-        first, last = chosen[0], chosen[-1]
-        while first and not lines[first - 1][4] and lines[first - 1][3] and parser.names[lines[first - 1][3][-1]] in ("h1", "h2", "h3"):
+        while first and names[lines[first - 1][3]] in ("h1", "h2", "h3"):
             first -= 1
-        kept = [k for k in range(first, last + 1)]
-    else:
-        kept = [k for k in range(len(lines)) if article in lines[k][3]]
-    return "\n".join(lines[k][0] for k in kept if not lines[k][4])
+    kept = [inside[x[3]] and (not whole or first <= k <= last) for k, x in enumerate(lines)]
+    if names[article] != "article":
+        # runs of links are menus
+        start = 0
+        for k in range(len(lines) + 1):
+            if k == len(lines) or lines[k][1]:
+                if k - start >= MENU:
+                    kept[start:k] = [False] * (k - start)
+                start = k + 1
+    return "\n".join(x[0] for x, keep in zip(lines, kept) if keep)
 
 
 def main_text(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 from docloom.llm.html_content import content, main_text
 
@@ -23,6 +24,51 @@ def test_aside():
     assert content(page).split("\n") == ["Title & more", FILL.strip(), "short.", "item"]
 
 
+PROSE = "Plain words of an article that go on, with commas and some more of them. " * 4
+ARTICLE = f"<h1>Title</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p><ul><li>first item</li><li>second item</li></ul><p>{PROSE}</p>"
+TEXT = "\n".join(["Title", PROSE.strip(), "Short one.", PROSE.strip(), "first item", "second item", PROSE.strip()])
+LINKS = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(12))
+
+
+def test_wrappers():
+    """Words that mark what is no article say nothing on an element that holds the article."""
+    side = f"<div class=sidebar><p>{PROSE}</p></div>"
+    for page in (
+        f"<body><div class='layout has-sidebar'><div>{ARTICLE}</div>{side}</div>",
+        f"<body><div class='site no-sidebar'><article>{ARTICLE}</article>{side}</div>",
+        f"<body><div class='job-search-guide'>{ARTICLE}</div>{side}",
+        f"<body><form id=aspnetForm><div>{ARTICLE}</div>{side}</form>",
+        f"<body><div class='search-results promo'><div>{ARTICLE}</div></div>{side}",
+        f"<body><main class='related page'>{ARTICLE}</main>{side}",
+    ):
+        assert content(page) == TEXT, page[:60]
+
+
+def test_comments_and_menus():
+    said = "".join(f"<article class='comment depth-{k}'><p>{PROSE}</p></article>" for k in range(9))
+    assert content(f"<body><main><article>{ARTICLE}</article><div>{said}</div></main>") == TEXT
+    assert content(f"<body><article>{ARTICLE}</article><section class=comments>{said}</section>") == TEXT
+    assert content(f"<body><div>{ARTICLE}<section id=comments><ol><li>{PROSE}</li><li>{PROSE}</li></ol></section></div>") == TEXT
+    assert content(f"<body><ul>{LINKS}</ul>{ARTICLE}<ul>{LINKS}</ul>") == TEXT
+
+
+def test_no_labels():
+    """Nothing but ratios tells the article from what stands around it."""
+    page = f"<body><div><div><b>Brand</b></div><ul>{LINKS}</ul></div><div><div class=x1>{ARTICLE}</div><div class=x2><ul>{LINKS}</ul></div></div><div><p><a href=/a>About</a> <a href=/b>Contact</a></p><p>2024</p></div>"
+    assert content(page) == TEXT
+    # intro before a long list, and two regions of unequal size: nothing that was selected goes
+    items = "".join(f"<li>{PROSE}</li>" for _ in range(20))
+    assert content(f"<body><ul>{LINKS}</ul><div><h1>Title</h1><p>{PROSE}</p><ul>{items}</ul></div>").count(PROSE.strip()) == 21
+    assert content(f"<body><div><div>{ARTICLE * 8}</div><div><p>{PROSE}</p></div></div>").count(PROSE.strip()) == 25
+
+
+def test_linear():
+    for page in ("<div>x" * 16_000, "<b>x" * 16_000, "<p><a href=x>y" * 16_000, "<ul><li>z" * 8_000, "</b></div>" * 16_000):
+        began = time.perf_counter()
+        content(page)
+        assert time.perf_counter() - began < 1
+
+
 def test_broken():
     assert content("") == "" and content("<p") in ("", "<p") and content("plain text") == "plain text"
     assert content("<p>a &lt;b&gt;  \n c &#228;") == "a <b> c ä"
