@@ -243,7 +243,8 @@ def repeated_passages(
     whole = equal.where(F.col("kind") == LINE).select("doc", "start", "end", "kind").union(alike)
     sides = staged(found.where("start IS NOT NULL").select("key", "start", "before", "before_at", "after", "after_at").dropDuplicates(["key", "start"]), "passage-sides")
     torn = met(names, torn.select("doc", "start", "end", "doc0", "start0"), "doc").withColumnRenamed("key", "key1")
-    torn = torn.join(met(names, torn.select(F.col("doc0").alias("doc")).distinct(), "doc").withColumnsRenamed({"doc": "doc0", "key": "key0"}).hint("merge"), "doc0")
+    firsts = staged(met(names, staged(equal.where((F.col("kind") == PIECE) & ~F.col("alike")).select(F.col("doc0").alias("doc")).distinct(), "passage-torn"), "doc"), "passage-named")
+    torn = torn.join(firsts.withColumnsRenamed({"doc": "doc0", "key": "key0"}).hint("merge"), "doc0")
     mine = sides.withColumnsRenamed({"key": "key1"})
     theirs = sides.select(F.col("key").alias("key0"), F.col("start").alias("start0"), F.col("before").alias("before0"), F.col("after").alias("after0"))
     torn = torn.join(mine.hint("merge"), ["key1", "start"]).join(theirs.hint("merge"), ["key0", "start0"])

@@ -392,7 +392,8 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
     keys = sets.select("uid", "keys").join(reps.select("uid").hint("merge"), "uid", "left_semi").select("uid", F.explode("keys").alias("key"))
     level, calm = 1, []
     while True:
-        crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        # written before they meet the keys, so that Spark can split the join where a key has very many rows
+        crowds = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{label}-crowds")
         live = staged(keys.join(crowds.hint("merge"), "key"), f"{label}-buckets")
         if split is None or level >= depth:
             calm.append(live)
