@@ -26,6 +26,13 @@ def model_file() -> str:
     return str(public_tokenizers.path(MODEL))
 
 
+def other_vocabularies() -> dict[str, str]:
+    """Vocabularies of op 2 beside MODEL: names in its bands and paths."""
+    import public_tokenizers
+
+    return {"byte": str(public_tokenizers.path("byte_bpe_50k.tiktoken")), "multi": str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,7 +70,7 @@ FROM o
 
 
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir), model_file())
+    return judged(documents(spark, sf_dir), model_file(), others=other_vocabularies())
 
 
 def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,16 @@
+import base64
+import collections
+import math
 import random
 import re
 
 import numpy as np
 import pandas as pd
-from docloom.llm.quality import judged, shape
+import public_tokenizers
+import sentencepiece
+import tiktoken
+from docloom.llm.quality import BANDS, judged, shape
+from docloom.llm.queries import other_vocabularies
 from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -43,3 +50,61 @@ def test_odd(spark, odd, none, model):
     assert long.n_words == 60_000 and long.base_failed  # its words come round again
     assert judged(odd.where("doc_id = 6"), model, min_words=1).select(F.col("n_tokens") > 60_000).first()[0]
     assert pd.DataFrame(rows).shape[0] == len(rows)
+
+
+def plainly(ids, partial, chars):
+    """Characters per token, share of partial tokens, entropy of the tokens over that of as many different ones."""
+    n, counts = len(ids), collections.Counter(ids)
+    if not n:
+        return 0, 0.0, 0.0, 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return n, chars / n, sum(map(partial, ids)) / n, entropy / math.log2(n) if n > 1 else 0.0
+
+
+def test_three_measures(spark, model):
+    """Fertility by each vocabulary, re-computed token by token with the libraries; scripts by counting letters; verdicts by reading the bands."""
+    r = random.Random(5)
+    rows = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(10_000 + k, "".join(r.choice(["word ", "при", "вет ", "漢字", "🙂", "\t", "\n", "é", "# ", "ﻼ", "\0"]) for _ in range(r.randint(0, 300))), r.choice(["en", "ru", None])) for k in range(120)]
+    rows += [(20_000, None, "en"), (20_001, "", None), (20_002, "x", "en")]
+    got = {x.doc_id: x for x in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, others=other_vocabularies(), keep=("doc_id", "lang")).collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=model)
+    encoders = {"": (pieces.encode, lambda i: pieces.is_byte(i) and pieces.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>"))}
+    for name, path in other_vocabularies().items():
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        token = {b: a for a, b in ranks.items()}
+
+        def partial(i, token=token):
+            try:
+                return not token[i].decode()
+            except UnicodeDecodeError:
+                return True
+
+        encoders[name] = (tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, partial)
+    for k, text, lang in rows:
+        x, fits = got[k], True
+        letters = [c for c in text or "" if ord(c) > 64 and not 90 < ord(c) < 97 and not 122 < ord(c) < 192]
+        share = {"latin": (65, 0x24F), "cyrillic": (0x400, 0x52F), "cjk": (0x3040, 0x9FFF)}
+        script = next((n for n, (a, b) in share.items() if 2 * sum(a <= ord(c) <= b for c in letters) > len(letters)), "other")
+        assert x.script == script
+        for name, (encode, partial) in encoders.items():
+            end = f"_{name}" if name else ""
+            n, ratio, raw, entropy = plainly(encode(text or ""), partial, len(text or ""))
+            assert (x[f"n_tokens{end}"], x[f"chars_per_token{end}"]) == (n, ratio)
+            assert math.isclose(x[f"byte_share{end}"], raw, abs_tol=1e-12) and math.isclose(x[f"token_entropy{end}"], entropy, abs_tol=1e-9)
+            known = lang in ("en", "fr", "de", "es")
+            speech, letters_ = BANDS[name][lang if known and script in ("latin", "other") else script], BANDS[name][lang if known and script == "latin" else script]
+            bits = math.log2(max(n, 1))
+            c0, c1, c2 = speech["curve"]
+            at = min(bits, -c1 / (2 * c2)) if c2 < 0 else bits
+            gap = c0 + c1 * at + c2 * at * at - entropy * bits
+            fits &= not (gap > speech["gap"] or gap > speech["near"] and ratio < speech["inner"] or not letters_["ratio"][0] <= ratio <= letters_["ratio"][1] or raw > letters_["bytes"])
+        assert x.base_failed == (x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words)
+        assert x.kept == (fits and not x.base_failed)
+
+
+def test_vocabularies_agree_with_labels(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    rows = judged(docs, model, keep=("doc_id", "quality"), others=other_vocabularies()).where("NOT base_failed").toPandas()
+    kept = rows.groupby("quality").kept.mean()
+    assert kept[1] > 0.99 and kept[0] < 0.05
