@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -35,7 +36,7 @@ def base32(hexa: str) -> str:
     return base64.b32encode(bytes.fromhex(hexa)).decode()
 
 
-def record(kind: str, record_id: str, url: str, digest: str, payload: bytes, refers_to: str | None, page: int | None, size: int) -> bytes:
+def record(kind: str, record_id: str, url: str, digest: str, payload: bytes, refers_to: str | None, page: int | None, size: int, refers_page: int | None = None) -> bytes:
     """One WARC record; a revisit keeps the HTTP headers, with the length of the payload, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
@@ -54,10 +55,17 @@ def record(kind: str, record_id: str, url: str, digest: str, payload: bytes, ref
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
             head.append(f"WARC-Refers-To: <{refers_to}>")
+        if refers_page is not None:
+            head.append(f"X-Refers-To-Page-ID: {refers_page}")
     head.append(f"Content-Length: {len(body)}")
     return ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
 
+def named(kind: str, page: int | None, digest: str, url: str = "", turn: int = 0) -> str:
+    """The id of a record, told from what it holds: a response's from its page and payload, so that revisits and reruns name the same."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([kind, page, digest, url, turn]))}"
+
+
 def escaped(url: str) -> str:
     """A URL in one header line: control characters, spaces, percent signs and what is not ASCII as %XX of UTF-8."""
     return "".join(c if 32 < ord(c) < 127 and c != "%" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
@@ -137,7 +145,9 @@ def archive(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
     index: file, offset, length, record_id of each record, itself written beside the files as ``index.parquet``.
     The payload is the html in UTF-8, null as empty.  Of records with equal payloads of ``least_bytes`` or more,
     that with the largest id is the response and the others revisit it; of repeated rows with this id, one is.
-    A null id is less than any other; null urls are written as ''.  Without a ``folder`` the files are working
+    A null id is less than any other; null urls are written as ''.  Record ids are told from page, payload and url,
+    so reruns agree and a revisit names its response's id; rows of one task that agree in all three are numbered.
+    Other columns play no part.  Without a ``folder`` the files are working
     tables of this driver, deleted when it ends.
     """
     spark = pages.sparkSession
@@ -159,6 +169,7 @@ def archive(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
         store, root = fs.FileSystem.from_uri(store_uri)
         store.create_dir(root, recursive=True)
         name, state, n = uuid.uuid4().hex, None, 0
+        again: dict[tuple, int] = {}
 
         def close():
             source, out, z, _ = state
@@ -176,7 +187,12 @@ def archive(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
                     source = f"{root}/{name}-{n}.mono.warc.gz"
                     state = [source, store.open_output_stream(source, compression=None), zlib.compressobj(6, zlib.DEFLATED, GZIP), 0]
                     n += 1
-                made = record(what, f"urn:uuid:{uuid.uuid4()}", address, base32(digest), data, None if refers is None else f"urn:page:{refers}", page, len(data))
+                if what == "response" and len(data) >= least_bytes:
+                    own = named("response", page, digest)
+                else:  # rows that agree in all of this get numbers
+                    turn = again[key] = again.get(key := (what, page, digest, address), -1) + 1
+                    own = named(what, page, digest, address, turn)
+                made = record(what, own, address, base32(digest), data, named("response", refers, digest) if what == "revisit" else None, page, len(data), refers)
                 state[1].write(state[2].compress(made))
                 state[3] += len(made)
                 if state[3] >= FILE_BYTES:
@@ -227,8 +243,8 @@ def read_archive(index: DataFrame, folder: str, *, payload: bool = True) -> Data
                 digest, count = h["warc-payload-digest"].removeprefix("sha1:"), int(r["http"]["content-length"])
                 if kind == "response" and (count != len(data) or digest != base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()):
                     raise ValueError(f"{file} at {offset}: the payload is not what its headers say")
-                page, refers = h.get("x-page-id"), h.get("warc-refers-to")
-                row = (page and int(page), unescaped(h["warc-target-uri"]), data if payload and kind == "response" else None, count, digest, kind, refers and int(refers.strip("<>").rpartition(":")[2]))
+                page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
+                row = (page and int(page), unescaped(h["warc-target-uri"]), data if payload and kind == "response" else None, count, digest, kind, refers and int(refers))
                 for c, v in zip(out, row):
                     c.append(v)
                 size += len(data)

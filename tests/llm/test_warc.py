@@ -71,3 +71,22 @@ def test_streams():
     assert list(warc.records(warc.inflated(Stream(several), 777))) == made
     with pytest.raises(ValueError):
         list(warc.records(iter([b"".join(made)[:-3]])))
+
+
+def test_record_ids(spark):
+    """Ids are unique and the same in every run, and a revisit's reference is the id of a response with its payload; clashing columns and a long payload make no difference."""
+    r = random.Random(2)
+    rows = [(k, f"u{k % 7}", r.choice(["a", "b", "", None, f"own {k}", "long " * 400_000]), "x", "y", "z", "w") for k in range(120)] + [(None, "n", "a", "x", "y", "z", "w"), (5, "u", "a", "x", "y", "z", "w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, payload string, kind string, page string")
+    seen = []
+    for parts in (2, 5):
+        index, folder = warc.archive(df.repartition(parts))
+        store, _ = fs.FileSystem.from_uri(folder)
+        heads = [warc.parsed(gzip.decompress(store.open_input_file(x.file).read()[x.offset : x.offset + x.length]))["headers"] for x in index.collect()]
+        ids = [h["warc-record-id"] for h in heads]
+        assert len(set(ids)) == len(ids) == len(rows)
+        responses = {h["warc-record-id"]: h["warc-payload-digest"] for h in heads if h["warc-type"] == "response"}
+        assert all(responses[h["warc-refers-to"]] == h["warc-payload-digest"] for h in heads if h["warc-type"] == "revisit")
+        assert len(set(responses.values())) == len(responses)
+        seen.append(sorted(ids))
+    assert seen[0] == seen[1]
