@@ -28,6 +28,11 @@ def name_of(column: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit("\0null"))
 
 
+def hash_of(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: an order of rows that tie, the same in every run."""
+    return F.xxhash64(F.lit(0), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
 def word_count(column: Column | str) -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 

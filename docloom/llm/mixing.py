@@ -2,7 +2,10 @@
 
 Golden-ratio points run through the sources' cumulative weights and deal out slots; a source's slots are ranked
 in the order of the schedule, and rank r takes the source's block r (round and round again).  Blocks are equal
-runs of words of the source's documents in shuffled order.
+runs of words of the source's documents in shuffled order.  A document's ``slot`` is the first that takes words of
+it: read by slot, every stretch of the mix has the sources in their shares.
+
+Limit: what there is of a source (its sizes, target, slots) is one row, and windows run over these rows in one task.
 
 DataFrame functions only.  Nothing is gathered but two scalars; ranks and offsets come from two levels of
 counts, so a source with a third of all rows is spread over many tasks.
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import name_of, staged, word_count
+from .common import name_of, staged, text_of, word_count
 
 #: 2^32 over the golden ratio, odd: i * GOLDEN mod 2^32 is the i-th point.
 GOLDEN = 2654435769
@@ -27,11 +30,13 @@ CHUNK = 1 << 16
 @dataclass(frozen=True)
 class Mix:
     """targets: a row for each source (sid, source, size, target, quota).  schedule: a row for each slot (slot, sid,
-    epoch, block, tokens).  taken: a row for each document (id, source, size, source_size, target, taken)."""
+    epoch, block, tokens).  taken: a row for each document (id, source, size, source_size, target, taken, slot).
+    slots: numbers below which all slots lie."""
 
     targets: DataFrame
     schedule: DataFrame
     taken: DataFrame
+    slots: int
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFrame:
@@ -142,23 +147,33 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     pieces = placed.withColumn("block", F.explode_outer(spans))
     got = F.least(F.col("lo") + F.col("size"), F.col("block") * block + F.col("tokens")) - F.greatest(F.col("lo"), F.col("block") * block)
     taken = (
-        pieces.join(slots.select("sid", "block", "tokens"), ["sid", "block"], "left")
+        pieces.join(slots.select("sid", "block", "tokens", "slot"), ["sid", "block"], "left")
         .groupBy("sid", "bucket", "row", "id", "source", "size", "source_size", "target")
-        .agg(F.sum(F.when(F.col("tokens").isNull(), 0).otherwise(F.greatest(got, F.lit(0)))).cast("long").alias("taken"))
+        .agg(F.sum(F.when(F.col("tokens").isNull(), 0).otherwise(F.greatest(got, F.lit(0)))).cast("long").alias("taken"), F.min(F.when(got > 0, F.col("slot"))).alias("slot"))
         .drop("sid", "bucket", "row")
     )
-    return Mix(targets, slots, taken)
+    return Mix(targets, slots, taken, 1 + (slots.agg(F.max("slot")).first()[0] or 0))
 
 
 def mixed_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it in whole or in part: ceil(taken / size) times.
+    """The rows of ``docs`` in the order of the mix, each as often as it takes it in whole or in part: ceil(taken / size) times, one after the other.
 
-    Rows with equal id, source and size are matched in the order of their texts.
+    Partitions are equal stretches of the schedule, and rows in them are sorted by slot.  Rows with equal id, source
+    and size are matched in the order of hashes of their texts.  An empty table gives no rows; rows without words
+    are never taken.
     """
-    taken = mix(docs, id=id, text=text, source=source, **options).taken
-    # keys are never null, and the same for the windows and the join: each side is dealt out once
-    copies = taken.where("taken > 0").select(name_of("id").alias("__i"), name_of("source").alias("__s"), F.col("size").alias("__n"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    copies = copies.withColumn("__t", F.row_number().over(Window.partitionBy("__i", "__s", "__n").orderBy(F.col("__copies").desc())))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), name_of(id).alias("__i"), name_of(source).alias("__s"), word_count(text).alias("__n")).where("__n > 0")
-    rows = rows.withColumn("__t", F.row_number().over(Window.partitionBy("__i", "__s", "__n").orderBy(F.col(f"__row.{text}"))))
-    return rows.join(copies, ["__i", "__s", "__n", "__t"]).withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select("__row.*")
+    m = mix(docs, id=id, text=text, source=source, **options)
+    spark = docs.sparkSession
+    key = lambda i, s, n: [i.alias("__i"), s.alias("__s"), n.alias("__n")]
+    taken = m.taken.where("taken > 0").select(*key(name_of("id"), name_of("source"), F.col("size")), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"), F.col("slot").alias("__slot"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *key(name_of(id), name_of(source), word_count(text)), F.xxhash64(text_of(text)).alias("__h")).where("__n > 0")
+    # one dealing by id, source and size for both, and both are numbered in it: texts move once to meet what is taken of them
+    both = rows.unionByName(taken, allowMissingColumns=True).withColumn("__of", F.col("__row").isNull())
+    turn = Window.partitionBy("__i", "__s", "__n", "__of").orderBy(F.col("__copies").desc(), "__slot", "__h")
+    meet = Window.partitionBy("__i", "__s", "__n", "__t")
+    both = both.repartition("__i", "__s", "__n").withColumn("__t", F.row_number().over(turn))
+    both = both.withColumns({"__many": F.max("__copies").over(meet), "__at": F.max("__slot").over(meet)}).where("NOT __of AND __many > 0")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.expr(f"cast(__at * {parts} div {m.slots} as int)")
+    out = both.select("__row", "__at", F.explode(F.expr("sequence(1, __many)")).alias("__copy"), "__i").withColumn("__part", place)
+    return out.repartitionById(parts, F.col("__part")).sortWithinPartitions("__at", "__i", "__copy").select("__row.*")

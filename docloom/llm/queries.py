@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mix(documents(spark, sf_dir)).taken
-    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "slot")
 
 
 OP1 = r"""
@@ -59,13 +59,33 @@ t AS (
          CASE WHEN filled THEN cap ELSE (every - coalesce(sum(CASE WHEN filled THEN cap END) OVER (), 0)) * w / sum(CASE WHEN NOT filled THEN w END) OVER () END AS target
   FROM f),
 o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS lo
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT t.source, source_size, CAST(floor(target + 0.5) AS BIGINT) AS quota, s.sid, (source_size + 1023) // 1024 AS blocks
+  FROM t JOIN s USING (source_size) WHERE t.source IS NOT DISTINCT FROM s.source AND floor(target + 0.5) > 0),
+n AS (SELECT *, quota // source_size AS rounds, quota % source_size AS rest, (quota // source_size) * blocks + (quota % source_size + 1023) // 1024 AS slots FROM q),
+i AS (SELECT *, CAST(sum(slots) OVER (ORDER BY sid) AS BIGINT) AS upto, CAST(sum(slots) OVER () AS BIGINT) AS every FROM n),
+g AS (
+  SELECT x.slot, least(CAST(floor((((x.slot & 2147483647) * 2654435769) & 4294967295) * (CAST(m.every AS DOUBLE) / CAST(4294967296 AS DOUBLE))) AS BIGINT), m.every - 1) AS p
+  FROM (SELECT max(every) AS every FROM i) m, LATERAL (SELECT unnest(range(m.every)) AS slot) x),
+k AS (SELECT i.sid, g.slot, row_number() OVER (PARTITION BY i.sid ORDER BY g.slot) - 1 AS rank FROM g JOIN i ON g.p >= i.upto - i.slots AND g.p < i.upto),
+z AS (
+  SELECT sid, slot, rank FROM k
+  UNION ALL
+  SELECT i.sid, i.every + i.upto - i.slots + y.rank, y.rank
+  FROM (SELECT i.*, (SELECT count(*) FROM k WHERE k.sid = i.sid) AS got FROM i) i, LATERAL (SELECT unnest(range(i.got, i.slots)) AS rank) y),
+b AS (
+  SELECT i.source, z.slot, (z.rank % i.blocks) * 1024 AS b0,
+         (z.rank % i.blocks) * 1024 + least(1024, CASE WHEN z.rank // i.blocks < i.rounds THEN i.source_size ELSE i.rest END - (z.rank % i.blocks) * 1024) AS b1
+  FROM z JOIN i ON z.sid = i.sid WHERE z.rank < i.slots),
+f1 AS (SELECT o.source AS src, o.lo AS at, min(b.slot) AS slot FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source AND b.b0 < o.lo + o.size AND o.lo < b.b1 AND o.size > 0 GROUP BY o.source, o.lo)
 SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0
-            ELSE CAST((quota // source_size) * size + greatest(0, least(lo + size, quota % source_size) - lo) AS BIGINT) END AS taken
-FROM o
+            ELSE CAST((quota // source_size) * size + greatest(0, least(lo + size, quota % source_size) - lo) AS BIGINT) END AS taken,
+       CAST(f1.slot AS BIGINT) AS slot
+FROM o LEFT JOIN f1 ON o.source IS NOT DISTINCT FROM f1.src AND o.lo = f1.at AND o.size > 0
 """
 
 

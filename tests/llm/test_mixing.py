@@ -65,3 +65,23 @@ def test_documents(spark, odd, none):
     assert len(got) == sum(-(-x.taken // x.size) for x in taken if x.taken)
     assert mixed_documents(odd).columns == odd.columns
     assert mix(none).taken.count() == 0 and mixed_documents(none).count() == 0
+
+
+def test_order(spark):
+    """The mix comes in the order of its slots, and every stretch of it has the sources in their shares."""
+    r = random.Random(4)
+    rows = [(k, " ".join(["w"] * r.choice([5, 20, 60])), r.choice(["a", "a", "a", "b", "c"])) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    m = mix(df, block=64)
+    slot = {x.id: x.slot for x in m.taken.collect()}
+    got = [x.doc_id for x in mixed_documents(df, block=64).collect()]
+    at = [slot[k] for k in got]
+    assert at == sorted(at) and None not in at and max(at) < m.slots
+    assert [x.doc_id for x in mixed_documents(df.repartition(3), block=64).collect()] == got
+    source = {k: s for k, _, s in rows}
+    # slots, and with them words, are dealt evenly; documents follow them
+    schedule = [x.sid for x in sorted(m.schedule.collect(), key=lambda x: x.slot)]
+    for part in (schedule[: len(schedule) // 2], schedule[len(schedule) // 4 : len(schedule) // 2]):
+        assert all(abs(part.count(s) / len(part) - schedule.count(s) / len(schedule)) < 0.03 for s in range(3))
+    half = [source[k] for k in got[: len(got) // 2]]
+    assert all(abs(half.count(s) / len(half) - sum(source[k] == s for k in got) / len(got)) < 0.1 for s in "abc")
