@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import name_of, staged, text_of
+from .common import hash_of, name_of, staged, text_of
+from .similar import met
 
 
 def _normal(line: Column) -> Column:
@@ -55,9 +56,11 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", r
         windows = windows.union(lines.select(F.col("j").alias("p"), "id", "key", "j", h.alias("print"), F.xxhash64(F.array(h), F.array(c)).alias("w1"), F.hash(F.array(c), F.array(h)).alias("w2"), F.lit(1).alias("size")))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("key"), F.col("j"))
     place = F.struct("id", "key", "p")
-    often = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("NOT a <=> z").select("print")
-    matched = windows.join(often, "print", "left_semi")
+    # sums are written before they meet the windows, so that Spark can split a join where one line is very common
+    often = staged(windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("NOT a <=> z").select("print"), "line-prints")
+    matched = staged(met(windows, often, "print", "left_semi"), "line-places")
     first = matched.groupBy("w1", "w2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "first")
+    first = staged(first, "line-firsts").hint("merge")
     same_doc = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.key") == F.col("key"))
     # a window is no repeat of itself, nor of one that it overlaps
     repeats = matched.join(first, ["w1", "w2"]).where(~same_doc | (F.col("first.j") + F.col("size") <= F.col("j")))
@@ -76,22 +79,22 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run:
 
     The first of equal runs stays, by id (null last), then hash of the text, then place.  Lines are compared
     without outer white space and with inner white space as one space; lines without other characters take no
-    part and stay.  A null text stays null.  Of repeated rows with equal id and text, one is the first and the
-    others lose all lines if they have ``run`` lines or more, else those of ``words`` words.  No row is dropped.  Columns of ``docs`` by the names
+    part and stay.  A null text stays null.  Of repeated rows with equal id and text, one (by a hash of all columns)
+    is the first and the others lose all lines if they have ``run`` lines or more, else those of ``words`` words.  No row is dropped.  Columns of ``docs`` by the names
     of the two give way to them.
     """
     found = repeated_lines(docs, id=id, text=text, run=run, words=words).select(name_of("id").alias("__i"), F.col("key").alias("__k"), F.col("removed").alias("__removed"))
     lines = F.split(text_of("__text"), "\n", -1)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    rows = docs.select(F.struct(F.lit(0).alias("__none"), *others).alias("__row"), name_of(id).alias("__i"), F.col(text).alias("__text"), F.xxhash64(text_of(text)).alias("__k"))
+    rows = docs.select(F.struct(F.lit(0).alias("__none"), *others).alias("__row"), name_of(id).alias("__i"), F.col(text).alias("__text"), F.xxhash64(text_of(text)).alias("__k"), hash_of(docs).alias("__tie"))
     rows = rows.join(found, ["__i", "__k"], "left")
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__i", "__k").orderBy(F.lit(0))))
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__i", "__k").orderBy("__tie")))
     none = F.array().cast("array<int>")
     kept = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("k"), _normal(line).alias("line"))), lambda x: F.length(x["line"]) > 0)
     full = F.transform(kept, lambda x: x["k"])
     alone = none if words is None else F.transform(F.filter(kept, lambda x: _long(x["line"], words)), lambda x: x["k"])
     removed = F.when(F.col("__copy") == 1, F.coalesce(F.sort_array("__removed"), none)).otherwise(F.when(F.size(full) >= run, full).otherwise(alone))
     rows = rows.withColumn("__removed", removed)
-    clean = F.when(F.size("__removed") == 0, F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("__removed", k)), "\n"))
+    clean = F.when(F.size("__removed") == 0, F.col("__text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__removed"), lambda k: F.get(lines, k)), "\n"))
     own = [c for c in docs.columns if c not in ("n_lines", "removed")]
     return rows.select(*[clean.alias(text) if c == text else F.col(f"__row.`{c}`").alias(c) for c in own], F.size(lines).cast("long").alias("n_lines"), F.col("__removed").alias("removed"))
