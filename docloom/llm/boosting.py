@@ -38,6 +38,18 @@ class Boosted:
         return out
 
 
+    def sql(self, value) -> str:
+        """The same as one SQL expression; ``value(name)``: a feature's SQL."""
+
+        def tree(t) -> str:
+            if not isinstance(t, tuple):
+                return f"{float(t)!r}D"
+            at, threshold, left, right = t
+            return f"CASE WHEN {value(self.names[at])} <= {float(threshold)!r}D THEN {tree(left)} ELSE {tree(right)} END"
+
+        return " + ".join([f"{float(self.base)!r}D", *map(tree, self.trees)])
+
+
 def _apply(t, x: np.ndarray) -> np.ndarray:
     if not isinstance(t, tuple):
         return np.full(len(x), float(t))

@@ -152,7 +152,8 @@ def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(documents(spark, sf_dir))
     digest = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("formats", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[number(k) for k in ("email", "ip", "card", "phone")], F.sha2(digest("formats").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+    added = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(k) for k in ("email", "ip", "card", "phone")], F.sha2(digest("formats").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"), added("secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
