@@ -46,7 +46,8 @@ def strip(text: Column | str) -> Column:
 def clean_text(text: Column | str, homoglyphs: bool = True) -> Column:
     """Scanned text as paragraphs: hyphenation joined, single line breaks as spaces, Latin look-alikes as Cyrillic."""
     t = F.replace(F.replace(_c(text), F.lit("\r"), F.lit("")), F.lit("-\n"), F.lit(""))
-    t = F.replace(F.replace(F.replace(t, F.lit("\n\n"), F.lit("\x01")), F.lit("\n"), F.lit(" ")), F.lit("\x01"), F.lit("\n\n"))
+    # pairs of line breaks from the left, what is left over is a space
+    t = F.array_join(F.transform(F.split(t, "\n\n"), lambda x: F.replace(x, F.lit("\n"), F.lit(" "))), "\n\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     return strip(F.translate(t, LATIN, CYRILLIC) if homoglyphs else t)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,33 +12,55 @@ from ..functions import text as X
 from ..params import Params
 
 
+#: White space and the end of a sentence or paragraph, as the patterns of functions.text have it.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_END = re.compile(rf"(\n\n|[.!?]{_SPACE}+)")
+_EDGE = re.compile(rf"^{_SPACE}+|{_SPACE}+$")
+
+
 def packed(text: Column | str, p: Params = Params()) -> Column:
-    """Texts of pages: sentences and paragraphs are added to a page until the next would exceed its size."""
-    t = X.clean_text(text, p.homoglyphs)
-    parts = F.split(F.regexp_replace(t, r"(?U)(\n\n|[.!?]\s+)", "\x01$1\x01"), "\x01")
-    start = F.struct(F.lit("").alias("page"), F.lit(False).alias("begun"), F.array().cast("array<string>").alias("out"))
+    """Texts of pages: sentences and paragraphs are added to a page until the next would exceed its size.
 
-    def step(a: Column, x: Column) -> Column:
-        full = a["begun"] & (F.length(a["page"]) + F.length(x) > p.page_chars)
-        return F.when(full, F.struct(x.alias("page"), F.lit(True).alias("begun"), F.array_append(a["out"], X.strip(a["page"])).alias("out"))).otherwise(
-            F.struct(F.concat(a["page"], x).alias("page"), F.lit(True).alias("begun"), a["out"].alias("out"))
-        )
+    A greedy fold, which built-in functions could only do by copying the pages so far at each sentence.
+    """
+    limit = p.page_chars
 
-    return F.aggregate(parts, start, step, lambda a: F.array_append(a["out"], X.strip(a["page"])))
+    def fold(text: str) -> list[str]:
+        pages, page, size = [], [], 0
+        for part in _END.split(text):
+            if page and size + len(part) > limit:
+                pages.append(_EDGE.sub("", "".join(page)))
+                page, size = [], 0
+            page.append(part)
+            size += len(part)
+        return [*pages, _EDGE.sub("", "".join(page))]
 
+    @F.pandas_udf("array<string>")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(fold)
 
-def line_packed(text: Column | str, p: Params = Params()) -> Column:
-    """Texts of pages of whole lines, each closed once it has reached its size."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("lines"), F.lit(0).alias("n"), none.alias("out"))
+    return folded(X.clean_text(text, p.homoglyphs))
 
-    def step(a: Column, x: Column) -> Column:
-        lines, n = F.array_append(a["lines"], x), a["n"] + F.length(x) + 1
-        return F.when(n >= p.line_page_chars, F.struct(none.alias("lines"), F.lit(0).alias("n"), F.array_append(a["out"], F.array_join(lines, "\n")).alias("out"))).otherwise(
-            F.struct(lines.alias("lines"), n.alias("n"), a["out"].alias("out"))
-        )
 
-    return F.aggregate(F.split(X._c(text), "\n"), start, step, lambda a: F.when(F.size(a["lines"]) > 0, F.array_append(a["out"], F.array_join(a["lines"], "\n"))).otherwise(a["out"]))
+def line_packed(text: Column | str, p: Params = Params()) -> Column:
+    """Texts of pages of whole lines, each closed once it has reached its size."""
+    limit = p.line_page_chars
+
+    def fold(text: str) -> list[str]:
+        pages, page, size = [], [], 0
+        for line in text.split("\n"):
+            page.append(line)
+            size += len(line) + 1
+            if size >= limit:
+                pages.append("\n".join(page))
+                page, size = [], 0
+        return [*pages, "\n".join(page)] if page else pages
+
+    @F.pandas_udf("array<string>")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(fold)
+
+    return folded(X._c(text))
 
 
 def to_pages(docs: DataFrame, pages: Column, *, id: str = "doc_id") -> DataFrame:

@@ -4,39 +4,48 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions import vectors as V
 from ..params import Params
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings: term, chunk_id, tf, weight (score of the term in the chunk); lengths: chunk_id, dl; terms: term, df, idf; totals: n, avgdl."""
+    """postings: term, chunk_id, tf, dl; totals: n, avgdl; terms: term, df, idf."""
 
     postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
     totals: DataFrame
+    terms: DataFrame
 
 
 def keyword_index(chunks: DataFrame, p: Params = Params(), *, id: str = "chunk_id", text: str = "text") -> KeywordIndex:
-    """Inverted index with BM25 weights worked out when it is built, so a search joins postings with the query's terms and nothing else.
+    """Inverted index as a plan: a chunk is split into terms once, its length goes with each of them.
 
-    The totals are one row, joined as such; document frequencies are one row for each term.
+    ``sources.index`` stores it and puts documents in and out of it.
     """
-    counted = chunks.select(F.col(id).alias("chunk_id"), F.explode(X.terms(text)).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = chunks.select(F.col(id).alias("chunk_id"), F.size(X.terms(text)).cast("long").alias("dl"))
+    split = chunks.select(F.col(id).alias("chunk_id"), X.terms(text).alias("t")).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
+    counted = split.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = chunks.select(F.size(X.terms(text)).cast("long").alias("dl"))
+    return of_postings(counted.select("term", "chunk_id", "tf", "dl"), lengths)
+
+
+def of_postings(postings: DataFrame, lengths: DataFrame) -> KeywordIndex:
+    """The index of postings (term, chunk_id, tf, dl) and of the lengths ``dl`` of all chunks."""
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    one = F.lit(1)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.withColumn("__one", one).join(F.broadcast(totals.withColumn("__one", one)), "__one").select("term", "df", idf.alias("idf"), "avgdl")
-    share = F.col("tf") / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
-    postings = counted.join(lengths, "chunk_id").join(terms, "term").select("term", "chunk_id", "tf", (F.col("idf") * share).alias("weight"))
-    return KeywordIndex(postings, lengths, terms.drop("avgdl"), totals)
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return KeywordIndex(postings, totals, with_totals(df, totals).select("term", "df", idf.alias("idf")))
+
+
+def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """The one row of totals beside each row."""
+    one = F.lit(1)
+    return rows.withColumn("__one", one).join(F.broadcast(totals.withColumn("__one", one)), "__one").drop("__one")
 
 
 def ranked(rows: DataFrame, score: str, n: int, *, query: str = "query_id", ties: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
@@ -45,20 +54,59 @@ def ranked(rows: DataFrame, score: str, n: int, *, query: str = "query_id", ties
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def keyword_top(index: KeywordIndex, queries: DataFrame, n: int, *, text: str = "text") -> DataFrame:
-    """query_id, chunk_id, score, rank.  Scores are rounded to 6 places before they are ranked."""
+def keyword_top(index: KeywordIndex, queries: DataFrame, n: int, p: Params = Params(), *, text: str = "text") -> DataFrame:
+    """query_id, chunk_id, score, rank.  Scores are rounded to 6 places before they are ranked.
+
+    Only postings of the queries' terms are counted and weighted; each has its weight before it meets the queries.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.terms(text))).alias("term"))
-    scores = index.postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    some = asked.select("term").distinct()
+    idf = index.terms.join(some, "term", "left_semi").select("term", "idf")
+    hits = with_totals(index.postings.join(some, "term", "left_semi"), index.totals.select("avgdl")).join(idf, "term")
+    share = F.col("tf") / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
+    weighted = hits.select("term", "chunk_id", (F.col("idf") * share).alias("weight"))
+    scores = weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return ranked(scores, "score", n)
 
 
-def dense_top(points: DataFrame, queries: DataFrame, n: int, *, id: str = "chunk_id", vector: str = "vector", blocks: int = 16) -> DataFrame:
-    """query_id, chunk_id, score, rank by exact cosine of every point with every query: queries meet points in blocks, by an equal key."""
-    b = F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int")
-    asked = queries.select("query_id", V.unit(F.col("vector")).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    rows = points.select(F.col(id).alias("chunk_id"), V.unit(F.col(vector)).alias("__v"), b.alias("__b")).join(asked, "__b")
-    scores = rows.select("query_id", "chunk_id", F.round(V.dot(F.col("__q"), F.col("__v")), 6).alias("score"))
-    return ranked(scores, "score", n)
+def dense_top(points: DataFrame, queries: DataFrame, n: int, *, id: str = "chunk_id", vector: str = "vector", block: int = 4096, lot: int = 512) -> DataFrame:
+    """query_id, chunk_id, score, rank by exact cosine of every point with every query.
+
+    Points are packed in blocks of about ``block``, queries in lots of about ``lot``; each lot meets each block as one
+    matrix product, of which only what can be among a query's n best goes on.  A block and a lot is all that a task
+    holds.  Scores are rounded to 6 places before they are ranked.
+    """
+    blocks = max(1, -(-points.count() // block))
+    lots = max(1, -(-queries.count() // lot))
+    place = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    listed = lambda i, v: F.collect_list(F.struct(F.col(i).alias("i"), F.col(v).cast("array<double>").alias("v")))
+    rows = points.where(F.col(vector).isNotNull()).groupBy(place(id, blocks).alias("__b")).agg(listed(id, vector).alias("points"))
+    asked = queries.where(F.col("vector").isNotNull()).groupBy(place("query_id", lots).alias("__q")).agg(listed("query_id", "vector").alias("asked"))
+    asked = asked.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def matrix(column: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        lot_ = column.values
+        v = lot_.field("v")
+        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(lot_), -1) if len(lot_) else np.empty((0, 0))
+        size = np.sqrt((m * m).sum(axis=1))
+        return lot_.field("i"), m / np.where(size == 0, 1.0, size)[:, None]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, x = matrix(batch.column("points")[k])
+                names, q = matrix(batch.column("asked")[k])
+                if not len(ids) or not len(names):
+                    continue
+                score = q @ x.T
+                # rounding to 6 places makes ties: what lies within it of the nth best goes on, too
+                least = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n] if len(ids) > n else np.full(len(names), -np.inf)
+                at, to = np.nonzero(score >= least[:, None] - 2e-6)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids.take(pa.array(to)), pa.array(score[at, to])], names=["query_id", "chunk_id", "score"])
+
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", points.schema[id].dataType), T.StructField("score", T.DoubleType())])
+    met = rows.join(asked.hint("merge"), "__b").select("points", "asked").mapInArrow(run, schema)
+    return ranked(met.withColumn("score", F.round("score", 6)), "score", n)
 
 
 def fuse(runs: list[DataFrame], p: Params = Params(), *, depth: int | None = None) -> DataFrame:

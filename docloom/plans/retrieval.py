@@ -11,6 +11,8 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chunks, context, delta, pages, search
 from ..params import Params
+from ..sources import files
+from ..sources import index as store
 
 
 @dataclass(frozen=True)
@@ -41,13 +43,35 @@ def reindex(docs: DataFrame, state: DataFrame, stored: DataFrame, p: Params = Pa
     return kept.unionByName(made), delta.upsert(state.select("doc_id", "sha1"), now.select("doc_id", "sha1"), "doc_id"), counts
 
 
+def reindex_stored(docs: DataFrame, folder: str, p: Params = Params(), *, full: bool = False, job: str = "reindex") -> DataFrame:
+    """``reindex`` on a stored index and state in ``folder``; counts by status.  States of the job are logged; a failed one is logged and fails."""
+    spark = docs.sparkSession
+    log = lambda state, detail="": files.log_job(spark, f"{folder}/jobs", job, state, detail)
+    log(files.RUNNING)
+    try:
+        now = docs.withColumn("sha1", F.sha1(F.col("text").cast("binary")))
+        state = files.read_state(spark, f"{folder}/state")
+        work = delta.pending(now, state, "doc_id", force=full)
+        counts = spark.createDataFrame(delta.changes(now, state, "doc_id").groupBy("status").agg(F.count(F.lit(1)).alias("docs")).collect(), "status string, docs long")
+        store.upsert_index(chunks.search_chunks(ingest(work, p), p), f"{folder}/keyword", gone=work)
+        new = delta.upsert(state.select("doc_id", "sha1"), now.select("doc_id", "sha1"), "doc_id")
+        # the state is read while it is made, so it is written beside the old one first
+        files.write_state(new, f"{folder}/state.new")
+        files.write_state(files.read_state(spark, f"{folder}/state.new"), f"{folder}/state")
+    except Exception as error:
+        log(files.FAILED, str(error)[:200])
+        raise
+    log(files.DONE)
+    return counts
+
+
 def hybrid(index: Index, queries: DataFrame, p: Params = Params()) -> DataFrame:
     """query_id, place, doc_id, page_start, page_end, text, chunk_id, fused.
 
     queries: query_id, text, and vector if the index has points (chunk_id, doc_id, page_start, page_end, chunk_text, vector).
     """
     depth = max(8 * p.k, p.depth)
-    words = search.keyword_top(index.keyword, queries, depth)
+    words = search.keyword_top(index.keyword, queries, depth, p)
     by_word = words.join(index.chunks, "chunk_id").select("query_id", "chunk_id", "doc_id", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "text")
     runs, tables = [words], [by_word]
     if index.points is not None:

@@ -12,6 +12,8 @@ from .operators import chunks, context, delta, pages, search
 from .params import Params
 from .plans import retrieval
 from .sources import files
+from .sources import index as store
+from .sources.files import tempfolder
 
 P = Params()
 QUERIES: dict = {}
@@ -58,14 +60,18 @@ c AS (SELECT doc_id, k + 1 AS window_no, array_to_string(w[k * 150 + 1 : k * 150
 )
 
 
-@query("SELECT doc_id, " + STRIP.format(r"translate(regexp_replace(replace(replace(replace(replace(replace(text, chr(13), ''), '-' || chr(10), ''), chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)), '[ \t]+', ' ', 'g'), 'AaBEeKkMHOoPpCcTXxYy', 'АаВЕеКкМНОоРрСсТХхУу')") + " AS clean FROM documents")
+CLEAN = STRIP.format(r"translate(regexp_replace(replace(replace(replace(replace(replace(text, chr(13), ''), '-' || chr(10), ''), chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)), '[ \t]+', ' ', 'g'), 'AaBEeKkMHOoPpCcTXxYy', 'АаВЕеКкМНОоРрСсТХхУу')")
+NORMAL = (
+    STRIP.format(r"regexp_replace(array_to_string(list_transform(string_split(regexp_replace(translate(text, chr(13) || chr(9), chr(10) || ' '), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: " + STRIP.format(r"regexp_replace(x, '\s+', ' ', 'g')") + r"), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")
+)
+
+
+@query("SELECT doc_id, " + CLEAN + " AS clean FROM documents")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("clean"))
 
 
-@query(
-    r"SELECT doc_id, " + STRIP.format(r"regexp_replace(array_to_string(list_transform(string_split(regexp_replace(translate(text, chr(13) || chr(9), chr(10) || ' '), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: " + STRIP.format(r"regexp_replace(x, '\s+', ' ', 'g')") + r"), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')") + " AS clean FROM documents"
-)
+@query("SELECT doc_id, " + NORMAL + " AS clean FROM documents")
 def normalize_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize_text("text").alias("clean"))
 
@@ -81,31 +87,42 @@ def dedup_first(spark, sf_dir):
     return rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(" + LINES.format("text") + ") AS line FROM documents) SELECT doc_id, line, count(*) AS n FROM l WHERE " + CITE.format("line") + " GROUP BY doc_id, line")
+CITATION, MARK = "Smith J et al, Plain work 2019; 12(3): 45-67", "doi:10.1000/xyz, a page of the shelf"
+CITED = f"(SELECT doc_id, text || repeat(chr(10) || '{CITATION}', CAST(doc_id % 7 AS INTEGER)) || repeat(chr(10) || '{MARK}', CASE WHEN doc_id % 5 = 0 THEN 60 ELSE 0 END) AS text FROM documents) documents"
+
+
+def cited(spark, sf_dir):
+    """Documents with planted lines of a bibliography: none to six in each, and 60 more in every fifth."""
+    lines = lambda line, n: F.repeat(F.lit(f"\n{line}"), n.cast("int"))
+    more = F.when(F.col("doc_id") % 5 == 0, 60).otherwise(0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", lines(CITATION, F.col("doc_id") % 7), lines(MARK, more)).alias("text"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(" + LINES.format("text") + ") AS line FROM " + CITED + ") SELECT doc_id, line, count(*) AS n FROM l WHERE " + CITE.format("line") + " GROUP BY doc_id, line")
 def citation_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.split_lines("text")).alias("line"))
+    rows = cited(spark, sf_dir).select("doc_id", F.explode(X.split_lines("text")).alias("line"))
     return rows.where(X.is_citation(F.col("line"))).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH l AS (SELECT doc_id, " + LINES.format("text") + " AS l FROM documents), n AS (SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: " + CITE.format("x") + ")) AS hits FROM l) SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CASE WHEN n_lines >= 5 THEN round(hits / n_lines, 6) ELSE 0 END AS ratio, n_lines >= 5 AND hits / n_lines >= 0.55 AS is_refs FROM n")
+@query("WITH l AS (SELECT doc_id, " + LINES.format("text") + " AS l FROM " + CITED + "), n AS (SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: " + CITE.format("x") + ")) AS hits FROM l) SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CASE WHEN n_lines >= 5 THEN round(hits / n_lines, 6) ELSE 0 END AS ratio, n_lines >= 5 AND hits / n_lines >= 0.55 AS is_refs FROM n")
 def refs_page_class(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.references_page("text").alias("x"))
+    rows = cited(spark, sf_dir).select("doc_id", X.references_page("text").alias("x"))
     return rows.select("doc_id", "x.n_lines", F.round("x.ratio", 6).alias("ratio"), "x.is_refs")
 
 
-@query("SELECT doc_id, " + STRIP.format("array_to_string(list_filter(" + LINES.format("text") + ", lambda x: NOT " + CITE.format("x") + "), chr(10))") + " AS clean FROM documents")
+@query("SELECT doc_id, " + STRIP.format("array_to_string(list_filter(" + LINES.format("text") + ", lambda x: NOT " + CITE.format("x") + "), chr(10))") + " AS clean FROM " + CITED)
 def drop_citations(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.drop_citations("text").alias("clean"))
+    return cited(spark, sf_dir).select("doc_id", X.drop_citations("text").alias("clean"))
 
 
 LOOSE = r"(?i)(^\s*\d{1,3}[\).\]]\s+|et\s*al\.?|doi[:\s/]|10\.\d{3,9}/\S+|\b\d{4}\b\s*;\s*\d+)"
 
 
 @query(
-    r"SELECT doc_id, " + STRIP.format(r"array_to_string(list_filter(string_split_regex(regexp_replace(text, '\.\s+', '.' || chr(10), 'g'), '\n+'), lambda x: x <> '' AND NOT regexp_matches(x, '" + LOOSE + r"')), chr(10))") + " AS clean FROM documents"
+    r"SELECT doc_id, " + STRIP.format(r"array_to_string(list_filter(string_split_regex(regexp_replace(text, '\.\s+', '.' || chr(10), 'g'), '\n+'), lambda x: x <> '' AND NOT regexp_matches(x, '" + LOOSE + r"')), chr(10))") + " AS clean FROM " + CITED
 )
 def bm25_citation_drop(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.drop_loose_citations("text").alias("clean"))
+    return cited(spark, sf_dir).select("doc_id", X.drop_loose_citations("text").alias("clean"))
 
 
 NOISE = (
@@ -120,36 +137,54 @@ def noise_filter(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT item_id, lower(" + STRIP.format("text") + r") AS t FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn, left(text, CAST(turn AS INTEGER)) FROM conversations)) SELECT item_id, CASE WHEN length(t) < 3 THEN true WHEN regexp_full_match(t, '[a-z]\d{1,2}(\.\d+)?') THEN false WHEN NOT regexp_matches(t, '[a-zа-яё0-9]') THEN true ELSE regexp_full_match(t, '[a-zа-яё\s]+') AND len(list_distinct(string_split(t, ''))) < 5 AND length(t) < 20 END AS meaningless FROM t"
+    "WITH t AS (SELECT item_id, lower(" + STRIP.format("text") + r") AS t FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations)) SELECT item_id, CASE WHEN length(t) < 3 THEN true WHEN regexp_full_match(t, '[a-z]\d{1,2}(\.\d+)?') THEN false WHEN NOT regexp_matches(t, '[a-zа-яё0-9]') THEN true ELSE regexp_full_match(t, '[a-zа-яё\s]+') AND len(list_distinct(string_split(t, ''))) < 5 AND length(t) < 20 END AS meaningless FROM t"
 )
 def meaningless_query(spark, sf_dir):
-    cut = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.expr("left(text, cast(turn as int))").alias("text"))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text").union(cut)
+    """Benchmark items and the whole texts of conversations."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text").union(turns)
     return rows.select("item_id", X.looks_meaningless("text").alias("meaningless"))
 
 
-@query()
+@query(
+    "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + CLEAN + r" AS t FROM documents), p AS (SELECT doc_id, list_transform(string_split(regexp_replace(t, '(\n\n|[.!?]\s+)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: {'done': CAST([] AS VARCHAR[]), 'page': x}) AS parts FROM c),"
+    " f AS (SELECT doc_id, list_reduce(parts, lambda a, x: CASE WHEN length(a.page) + length(x.page) > 1800 THEN {'done': list_append(a.done, a.page), 'page': x.page} ELSE {'done': a.done, 'page': a.page || x.page} END) AS f FROM p),"
+    " g AS (SELECT doc_id, list_append(f.done, f.page) AS pages FROM f) SELECT doc_id, CAST(k AS INTEGER) AS page, " + STRIP.format("pages[k]") + " AS text FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS k FROM g)"
+)
 def page_packing(spark, sf_dir):
     return pages.to_pages(docs(spark, sf_dir), pages.packed("text", P))
 
 
-@query()
+@query(
+    "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + NORMAL + " AS t FROM documents), p AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'page': x, 'n': length(x) + 1}) AS parts FROM c),"
+    " f AS (SELECT doc_id, list_reduce(parts, lambda a, x: CASE WHEN a.n >= 2000 THEN {'done': list_append(a.done, a.page), 'page': x.page, 'n': x.n} ELSE {'done': a.done, 'page': a.page || chr(10) || x.page, 'n': a.n + x.n} END) AS f FROM p),"
+    " g AS (SELECT doc_id, list_append(f.done, f.page) AS pages FROM f) SELECT doc_id, CAST(k AS INTEGER) AS page, pages[k] AS text FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS k FROM g)"
+)
 def line_packing(spark, sf_dir):
     return pages.to_pages(docs(spark, sf_dir), pages.line_packed(X.normalize_text("text"), P))
 
 
+VOLUMES = f"(SELECT CAST(doc_id // 20 AS VARCHAR) AS doc_id, CAST(doc_id % 20 + 1 AS INTEGER) AS page, CASE WHEN (doc_id // 20) % 3 = 0 AND doc_id % 20 >= 14 OR doc_id % 11 = 0 THEN repeat('{CITATION}' || chr(10), 8) ELSE text END AS text FROM documents)"
+
+
+def volumes(spark, sf_dir):
+    """Documents as the pages of volumes of twenty; the last six of every third volume, and every eleventh page, are made a bibliography."""
+    volume, page = F.expr("doc_id div 20"), F.col("doc_id") % 20
+    listed = ((volume % 3 == 0) & (page >= 14)) | (F.col("doc_id") % 11 == 0)
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(volume.cast("string").alias("doc_id"), (page + 1).cast("int").alias("page"), F.when(listed, F.repeat(F.lit(f"{CITATION}\n"), F.lit(8))).otherwise(F.col("text")).alias("text"))
+
+
 @query(
-    """
-WITH f AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn AS page, text, length(text) % 3 <> 0 AS is_refs FROM conversations),
+    "WITH l AS (SELECT *, " + LINES.format("text") + " AS l FROM " + VOLUMES + "), f AS (SELECT doc_id, page, text, len(l) >= 5 AND len(list_filter(l, lambda x: " + CITE.format("x") + """)) / greatest(len(l), 1) >= 0.55 AS is_refs FROM l),
 i AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
 s AS (SELECT *, sum(CASE WHEN is_refs THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island, is_refs AND i >= floor(n * 0.6) AS late FROM i),
 k AS (SELECT *, sum(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, island ORDER BY i) AS k, min(CASE WHEN late THEN i END) OVER (PARTITION BY doc_id, island ORDER BY i) AS first FROM s)
-SELECT doc_id, CAST(coalesce(arg_min(first, i) FILTER (WHERE late AND k >= 2 AND before >= 200), -1) AS INTEGER) AS cut FROM k GROUP BY doc_id"""
+SELECT doc_id, CAST(coalesce(arg_min(first, i) FILTER (WHERE late AND k >= 2 AND before >= 5000), -1) AS INTEGER) AS cut FROM k GROUP BY doc_id"""
 )
 def tail_cut(spark, sf_dir):
-    p = P.with_(refs_min_chars=200)
-    rows = pages.flagged(turns_as_pages(spark, sf_dir), p).withColumn("is_refs", F.length("text") % 3 != 0)
-    return pages.tail_cut(rows, p).select("doc_id", F.col("cut").cast("int").alias("cut")).distinct()
+    rows = pages.flagged(volumes(spark, sf_dir), P)
+    return pages.tail_cut(rows, P).select("doc_id", F.col("cut").cast("int").alias("cut")).distinct()
 
 
 @query()
@@ -324,7 +359,19 @@ def rerank(spark, sf_dir):
     return search.reranked(rows, F.col("score"), 10).select("query_id", "chunk_id", "place_after")
 
 
-@query()
+@query(
+    "WITH" + SEARCH + ", " + VECTORS + """,
+v AS (SELECT b.item_id AS query_id, p.vec_id, list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS cos FROM benchmark b JOIN e q ON q.vec_id = b.item_id, e p),
+ds AS (SELECT query_id, chunk_id, round(cos, 6) AS score FROM v JOIN i ON v.vec_id = CAST(i.doc_id AS BIGINT) % (SELECT count(*) FROM embeddings)),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds),
+u AS (SELECT query_id, chunk_id, rank, 0 AS run FROM dr WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM r WHERE rank <= 60 AND query_id IN (SELECT query_id FROM v)),
+fu AS (SELECT query_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS fused, min(run * 100000 + rank) AS o FROM u GROUP BY query_id, chunk_id),
+po AS (SELECT fu.*, i.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, o, fu.chunk_id) AS position FROM fu JOIN i ON i.chunk_id = fu.chunk_id),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY position) AS nth FROM po),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM one WHERE nth = 1)
+SELECT pl.query_id, CAST(row_number() OVER (PARTITION BY pl.query_id ORDER BY cos DESC, place) AS INTEGER) AS place, CAST(doc_id AS VARCHAR) AS doc_id, 1 AS page_start, 1 AS page_end, chunk_id
+FROM pl JOIN v ON v.query_id = pl.query_id AND v.vec_id = CAST(doc_id AS BIGINT) % (SELECT count(*) FROM embeddings) WHERE place <= 8"""
+)
 def hybrid_full(spark, sf_dir):
     """Keyword and vector runs over documents; vectors stand in by number."""
     rows = windows_of_documents(spark, sf_dir)
@@ -444,6 +491,27 @@ def reindex_plan(spark, sf_dir):
     return retrieval.reindex(rows, state, stored, P)[0].groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+STORED = SEARCH.replace("FROM documents)", "FROM stored)", 1)
+
+
+@query(
+    "WITH stored AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'again ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1),"
+    + STORED
+    + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"
+)
+def stored_index(spark, sf_dir):
+    """A stored index of all documents, of which every fourth is put in again in a new version and every fifth is taken out, then searched."""
+    folder = tempfolder(spark, "keyword-index")
+    rows = docs(spark, sf_dir)
+    number = F.col("doc_id").cast("long")
+    made = lambda some: chunks.word_windows(some).select(ids.bm25_chunk_id(F.col("doc_id"), F.lit(1), F.col("window")).alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
+    store.write_index(made(rows), folder)
+    new = rows.where((number % 4 == 0) & (number % 5 != 1)).withColumn("text", F.concat(F.lit("again "), "text"))
+    store.upsert_index(made(new), folder, gone=rows.where(number % 5 == 1))
+    asked = items(spark, sf_dir)
+    return search.keyword_top(store.read_index(spark, folder, asked), asked, 10)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items answered from the documents: top chunks, one for each document, with citations."""
     rows = windows_of_documents(spark, sf_dir)

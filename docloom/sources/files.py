@@ -6,6 +6,8 @@ PDF layers, scans and word models need libraries that are not here: their places
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -122,14 +124,46 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.write.partitionBy("doc_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _at(spark, path)
+    return store.exists(p)
+
+
+def tempfolder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written beside its place and then moved there, so readers see the old one or the new."""
+    store, p = _at(spark, path)
+    _, new = _at(spark, f"{path}.new")
+    out = store.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if store.exists(p):
+        store.delete(p, False)
+    if not store.rename(new, p):
+        raise OSError(f"{path} could not be written")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a manifest; none if it is not there or no manifest."""
-    if not _there(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.MANIFEST_DOC)
     docs = spark.read.schema(schemas.MANIFEST).option("multiLine", "true").json(path)
     return docs.select(F.explode("docs").alias("d")).select("d.*")
@@ -137,10 +171,42 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and sha1 of a state file, an object of both."""
-    if not _there(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "doc_id string, sha1 string")
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", schemas.STATE)).alias("doc_id", "sha1"))
+    # one object, or one in each line
+    objects = whole.select(F.explode(F.split(F.regexp_replace("value", r"\}\s*\n\s*\{", "}\x02{"), "\x02")).alias("value"))
+    return objects.select(F.explode(F.from_json("value", schemas.STATE)).alias("doc_id", "sha1"))
+
+
+def write_state(state: DataFrame, path: str) -> None:
+    """doc_id and sha1 as rows of JSON objects of one key, which ``read_state`` reads; the last state gives way."""
+    state.select(F.to_json(F.create_map(F.col("doc_id").cast("string"), F.col("sha1"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_manifest(docs: DataFrame, path: str) -> None:
+    """Documents of a manifest, one object each with itself in ``docs``, which ``read_manifest`` reads; fields that ``docs`` lacks are null."""
+    have = set(docs.columns)
+    row = F.struct(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.MANIFEST_DOC.fields])
+    docs.select(F.array(row).alias("docs")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+#: States of a job, in order.
+QUEUED, RUNNING, DONE, FAILED = "queued", "running", "done", "failed"
+
+
+def log_job(spark: SparkSession, path: str, job: str, state: str, detail: str = "") -> None:
+    """One row more in the log of jobs: job, state, detail, at."""
+    rows = spark.createDataFrame([(job, state, detail)], "job string, state string, detail string")
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def job_states(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of each job."""
+    rows = spark.read.schema("job string, state string, detail string, at timestamp").json(path)
+    # of states logged at one time the later kind counts
+    order = F.struct("at", F.array_position(F.array(*map(F.lit, (QUEUED, RUNNING, DONE, FAILED))), F.col("state")))
+    return rows.groupBy("job").agg(F.max_by("state", order).alias("state"), F.max_by("detail", order).alias("detail"), F.max("at").alias("at"))
 
 
 def stored_hashes(points: DataFrame, doc_id: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"citations", "context_budget", "rrf_doc_level"}))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, sql, name):
     got = QUERIES[name](spark, SF)
     want = sql.execute(ORACLE_SQL[name])

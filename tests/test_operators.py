@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pytest
 from docloom.functions import results
 from docloom.operators import chunks, context, delta, pages, search
 from docloom.params import Params
@@ -225,3 +226,62 @@ def test_sql(spark):
 
     assert "doc_words" in register(spark)
     assert spark.sql("SELECT size(doc_words('a  b')) AS n, doc_citation('d', 1, 2) AS c").first() == (2, "d стр.1-2")
+
+
+def test_stored_index(spark, tmp_path):
+    """Putting documents in and taking them out leaves the index that a new one would be; a search reads the buckets of its terms only."""
+    from docloom.sources import index as store
+
+    rows = [(f"c{k}", f"d{k % 4}", f"alpha beta{k % 3} gamma{k}" * (1 + k % 2)) for k in range(20)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string")
+    folder = f"file://{tmp_path}/index"
+    store.write_index(df, folder)
+    new = spark.createDataFrame([("c1", "d1", "alpha delta"), ("c99", "d9", "delta")], "chunk_id string, doc_id string, text string")
+    store.upsert_index(new, folder, gone=df.where("doc_id = 'd2'"))
+    assert store.version(spark, folder) == 2
+    now = df.where("doc_id NOT IN ('d1', 'd2')").unionByName(new)
+    asked = spark.createDataFrame([(1, "alpha delta"), (2, "gamma3 beta0 nothing")], "query_id long, text string")
+    fresh = search.keyword_top(search.keyword_index(now, P), asked, 5).collect()
+    kept = store.read_index(spark, folder, asked)
+    assert sorted(search.keyword_top(kept, asked, 5).collect()) == sorted(fresh)
+    assert kept.postings.count() < store.read_index(spark, folder).postings.count()
+
+
+def test_reindex_stored(spark, tmp_path):
+    from docloom.plans import retrieval as plans
+
+    folder = f"file://{tmp_path}/all"
+    text = "A sentence of the text that says something about things. " * 20
+    docs = spark.createDataFrame([(f"d{k}", f"{k} " + text) for k in range(6)], "doc_id string, text string")
+    first = {r.status: r.docs for r in plans.reindex_stored(docs, folder).collect()}
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == "d1", F.concat("text", F.lit("More of it here."))).otherwise(F.col("text")))
+    more = changed.union(spark.createDataFrame([("d9", text)], docs.schema))
+    second = {r.status: r.docs for r in plans.reindex_stored(more, folder).collect()}
+    assert first == {"new": 6} and second == {"unchanged": 5, "changed": 1, "new": 1}
+    states = files.read_state(spark, f"{folder}/state")
+    assert states.count() == 7 and files.job_states(spark, f"{folder}/jobs").first().state == files.DONE
+    with pytest.raises(Exception, match="nowhere"):
+        plans.reindex_stored(more.withColumn("text", F.raise_error(F.lit("nowhere")).cast("string")), folder)
+    assert files.job_states(spark, f"{folder}/jobs").first().state == files.FAILED
+
+
+def test_writers(spark, tmp_path):
+    files.write_state(spark.createDataFrame([("a", "1"), ("b", "2")], "doc_id string, sha1 string"), f"file://{tmp_path}/state")
+    assert sorted(map(tuple, files.read_state(spark, f"file://{tmp_path}/state").collect())) == [("a", "1"), ("b", "2")]
+    files.write_manifest(spark.createDataFrame([("a", 3), ("b", None)], "doc_id string, pages int"), f"file://{tmp_path}/manifest")
+    got = files.read_manifest(spark, f"file://{tmp_path}/manifest").select("doc_id", "pages").collect()
+    assert sorted((r.doc_id, r.pages or 0) for r in got) == [("a", 3), ("b", 0)]
+
+
+def test_dense_blocks(spark):
+    """Blocks and lots of any size give the same rows; zero and null vectors score 0 or take no part."""
+    r = random.Random(1)
+    rows = [(k, [r.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for k in range(60)] + [(60, [0.0] * 4), (61, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = df.where("chunk_id % 7 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = [sorted(map(tuple, search.dense_top(df, asked, 5, block=b, lot=q).collect())) for b, q in ((4096, 512), (7, 3), (1, 1))]
+    assert got[0] == got[1] == got[2]
+    length = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    for i, v in rows[:60:7]:
+        best = sorted((-round(sum(a * b for a, b in zip(v, w)) / length(v) / length(w), 6), j) for j, w in rows if w is not None)[:5]
+        assert [(-s, j) for _, j, s, _ in sorted((x for x in got[0] if x[0] == i), key=lambda x: x[3])] == [(s, j) for s, j in best]

@@ -73,7 +73,8 @@ def test_trims(values):
 def test_fences(values):
     assert values(X.strip_fences, ["x ```json\n{}\n``` y", " plain "]) == ["{}", "plain"]
     assert values(X.strip_fences_loose, ["```json\n{1}\n``", "a``"]) == ["{1}", "a"]
-    assert values(X.clean_free_text, ["``` a", "`q`"]) == ["a", "q"]
+    # a text that begins with a fence and has no line break is all fence
+    assert values(X.clean_free_text, ["``` a", "`q`"]) == ["", "q"]
     got = values(X.thoughts, ["<think>a</think>b<think>c</think> d"])[0]
     assert got["thought"] == "c" and got["answer"] == "b d"
 
