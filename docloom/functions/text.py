@@ -77,6 +77,10 @@ def terms(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
+def term_count(text: Column | str) -> Column:
+    return F.regexp_count(_c(text), F.lit(r"[\p{L}\p{N}_]+")).cast("long")
+
+
 def split_lines(text: Column | str) -> Column:
     """Lines and sentences, stripped, none empty."""
     return F.filter(F.transform(F.split(_c(text), BREAK), strip), lambda x: x != "")

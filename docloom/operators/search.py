@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +17,41 @@ from ..params import Params
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings: term, chunk_id, tf, dl; totals: n, avgdl; terms: term, df, idf."""
+    """postings: term, chunk_id, tf, dl; totals: n, avgdl; df: term, df."""
 
     postings: DataFrame
     totals: DataFrame
-    terms: DataFrame
+    df: DataFrame
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df, idf."""
+        return with_totals(self.df, self.totals).select("term", "df", idf(F.col("n")).alias("idf"))
+
+
+def idf(n: Column) -> Column:
+    return F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``rows`` (t: terms, and others) with a row for each different term: the others, term, tf.
+
+    Terms of a row are in one place, so nothing is shuffled: a batch's terms become numbers and are counted at once.
+    """
+    others = [c for c in rows.columns if c != "t"]
+
+    def run(batches):
+        for batch in batches:
+            terms = batch.column("t")
+            size = np.asarray(pc.list_value_length(terms).fill_null(0))
+            coded = terms.flatten().dictionary_encode()
+            words, code = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+            key, tf = np.unique(np.repeat(np.arange(batch.num_rows), size) * max(1, len(words)) + code, return_counts=True)
+            row, code = np.divmod(key, max(1, len(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in others] + [words.take(pa.array(code)), pa.array(tf.astype(np.int64))], names=[*others, "term", "tf"])
+
+    schema = T.StructType([rows.schema[c] for c in others] + [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def keyword_index(chunks: DataFrame, p: Params = Params(), *, id: str = "chunk_id", text: str = "text") -> KeywordIndex:
@@ -29,17 +60,13 @@ def keyword_index(chunks: DataFrame, p: Params = Params(), *, id: str = "chunk_i
     ``sources.index`` stores it and puts documents in and out of it.
     """
     split = chunks.select(F.col(id).alias("chunk_id"), X.terms(text).alias("t")).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
-    counted = split.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = chunks.select(F.size(X.terms(text)).cast("long").alias("dl"))
-    return of_postings(counted.select("term", "chunk_id", "tf", "dl"), lengths)
+    return of_postings(term_counts(split).select("term", "chunk_id", "tf", "dl"), chunks.select(X.term_count(text).alias("dl")))
 
 
 def of_postings(postings: DataFrame, lengths: DataFrame) -> KeywordIndex:
     """The index of postings (term, chunk_id, tf, dl) and of the lengths ``dl`` of all chunks."""
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return KeywordIndex(postings, totals, with_totals(df, totals).select("term", "df", idf.alias("idf")))
+    return KeywordIndex(postings, totals, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
 def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
@@ -54,19 +81,49 @@ def ranked(rows: DataFrame, score: str, n: int, *, query: str = "query_id", ties
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def keyword_top(index: KeywordIndex, queries: DataFrame, n: int, p: Params = Params(), *, text: str = "text") -> DataFrame:
+def keyword_top(index: KeywordIndex, queries: DataFrame, n: int, p: Params = Params(), *, text: str = "text", block: int = 1024, lot: int = 256) -> DataFrame:
     """query_id, chunk_id, score, rank.  Scores are rounded to 6 places before they are ranked.
 
-    Only postings of the queries' terms are counted and weighted; each has its weight before it meets the queries.
+    Only postings of the queries' terms are weighted.  Chunks' weights are packed in blocks of about ``block`` chunks,
+    queries in lots of about ``lot``; a block and a lot meet as one product of weights and asked terms, of which only
+    what can be among a query's n best goes on.
     """
+    count, avgdl = index.totals.first()
+    blocks, lots = max(1, -(-count // block)), max(1, -(-queries.count() // lot))
+    place = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     asked = queries.select("query_id", F.explode(F.array_distinct(X.terms(text))).alias("term"))
-    some = asked.select("term").distinct()
-    idf = index.terms.join(some, "term", "left_semi").select("term", "idf")
-    hits = with_totals(index.postings.join(some, "term", "left_semi"), index.totals.select("avgdl")).join(idf, "term")
-    share = F.col("tf") / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
-    weighted = hits.select("term", "chunk_id", (F.col("idf") * share).alias("weight"))
-    scores = weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return ranked(scores, "score", n)
+    df = index.df.join(asked.select("term").distinct(), "term", "left_semi")
+    share = F.col("tf") / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.lit(avgdl or 1.0)))
+    weighted = index.postings.join(df, "term").select("chunk_id", F.col("term").alias("t"), (idf(F.lit(count)) * share).alias("w"))
+    packed = weighted.groupBy(place("chunk_id", blocks).alias("__b")).agg(F.collect_list(F.struct("chunk_id", "t", "w")).alias("rows"))
+    lists = asked.groupBy(place("query_id", lots).alias("__q")).agg(F.collect_list(F.struct("query_id", F.col("term").alias("t"))).alias("asked"))
+    lists = lists.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, wanted = batch.column("rows")[k].values, batch.column("asked")[k].values
+                chunk, name = rows.field("chunk_id").dictionary_encode(), wanted.field("query_id").dictionary_encode()
+                ids, names = chunk.dictionary, name.dictionary
+                terms = wanted.field("t").unique()
+                term = np.asarray(pc.index_in(rows.field("t"), terms).fill_null(-1))
+                held = term >= 0
+                weights = np.zeros((len(ids), len(terms)))
+                weights[np.asarray(chunk.indices)[held], term[held]] = np.asarray(rows.field("w"))[held]
+                has = np.zeros((len(terms), len(names)))
+                has[np.asarray(pc.index_in(wanted.field("t"), terms)), np.asarray(name.indices)] = 1
+                score = (weights @ has).T
+                # rounding to 6 places makes ties: what lies within it of the nth best goes on, too
+                least = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n] if len(ids) > n else np.zeros(len(names))
+                at, to = np.nonzero((score > 0) & (score >= least[:, None] - 2e-6))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids.take(pa.array(to)), pa.array(score[at, to])], names=["query_id", "chunk_id", "score"])
+
+    met = packed.join(lists.hint("merge"), "__b").select("rows", "asked").mapInArrow(run, top_schema(queries, index.postings, "chunk_id"))
+    return ranked(met.withColumn("score", F.round("score", 6)), "score", n)
+
+
+def top_schema(queries: DataFrame, rows: DataFrame, id: str) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", rows.schema[id].dataType), T.StructField("score", T.DoubleType())])
 
 
 def dense_top(points: DataFrame, queries: DataFrame, n: int, *, id: str = "chunk_id", vector: str = "vector", block: int = 4096, lot: int = 512) -> DataFrame:
@@ -104,8 +161,7 @@ def dense_top(points: DataFrame, queries: DataFrame, n: int, *, id: str = "chunk
                 at, to = np.nonzero(score >= least[:, None] - 2e-6)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids.take(pa.array(to)), pa.array(score[at, to])], names=["query_id", "chunk_id", "score"])
 
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", points.schema[id].dataType), T.StructField("score", T.DoubleType())])
-    met = rows.join(asked.hint("merge"), "__b").select("points", "asked").mapInArrow(run, schema)
+    met = rows.join(asked.hint("merge"), "__b").select("points", "asked").mapInArrow(run, top_schema(queries, points, id))
     return ranked(met.withColumn("score", F.round("score", 6)), "score", n)
 
 

@@ -26,7 +26,7 @@ def bucket(term: F.Column) -> F.Column:
 
 def _rows(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = chunks.select("chunk_id", "doc_id", X.terms("text").alias("t")).select("chunk_id", "doc_id", F.size("t").cast("long").alias("dl"), "t")
-    counted = split.select("chunk_id", "doc_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = search.term_counts(split)
     return counted.select("term", "chunk_id", "doc_id", "tf", "dl", bucket(F.col("term")).alias("bucket")), split.select("chunk_id", "doc_id", "dl")
 
 
