@@ -24,7 +24,7 @@ FERTILITY = {"n_tokens": T.LongType(), "chars_per_token": T.DoubleType(), "byte_
 
 
 class Vocabulary:
-    """A public vocabulary: ids of a text, and for each id whether it is a byte that is no character by itself."""
+    """A public vocabulary: ids of texts, and for each id whether it is a byte that is no character by itself."""
 
     def __init__(self, path: str):
         if path.endswith(".model"):
@@ -34,7 +34,7 @@ class Vocabulary:
             self.partial = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
             # there is no piece for line breaks and tabs
             self.partial[[model.piece_to_id(f"<0x{b:02X}>") for b in (9, 10, 13)]] = False
-            self.ids = lambda text: np.array(model.encode(text, num_threads=1), np.int64)
+            self.ids = lambda texts: [np.array(x, np.int64) for x in model.encode(texts, num_threads=1)]
         else:
             import public_tokenizers
             import tiktoken
@@ -45,7 +45,7 @@ class Vocabulary:
             self.partial = np.zeros(max(ranks.values()) + 1, bool)
             for token, rank in ranks.items():
                 self.partial[rank] = "\ufffd" in token.decode("utf-8", "replace") and token != "\ufffd".encode()
-            self.ids = lambda text: np.array(own.encode_ordinary(text), np.int64)
+            self.ids = lambda texts: [np.array(own.encode_ordinary(x), np.int64) for x in texts]
 
 
 @lru_cache(maxsize=8)
@@ -134,13 +134,10 @@ def measure(docs: DataFrame, model_file: str, *, text: str = "text", keep: tuple
 
     def run(batches):
         known = [vocabulary(path) for path in (model_file, *others.values())]
-        for batch in sliced(batches):
-            rows = []
-            for value in texts(batch, text):
-                row = [*shape(value)]
-                for v in known:
-                    row += fertility(v.ids(value), len(value), v.partial)
-                rows.append((*row, script(value)))
+        for batch in sliced(batches, 64):
+            values = texts(batch, text)
+            fertile = [[fertility(ids, len(value), v.partial) for ids, value in zip(v.ids(values), values)] for v in known]
+            rows = [(*shape(value), *(m for f in fertile for m in f[k]), script(value)) for k, value in enumerate(values)]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=[*keep, *[f.name for f in own]])
 

@@ -67,10 +67,11 @@ def test_three_measures(spark, model):
     rows = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
     rows += [(10_000 + k, "".join(r.choice(["word ", "при", "вет ", "漢字", "🙂", "\t", "\n", "é", "# ", "ﻼ", "\0"]) for _ in range(r.randint(0, 300))), r.choice(["en", "ru", None])) for k in range(120)]
     rows += [(20_000, None, "en"), (20_001, "", None), (20_002, "x", "en")]
-    got = {x.doc_id: x for x in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, others=other_vocabularies(), keep=("doc_id", "lang")).collect()}
+    others = other_vocabularies() | {"byte": str(public_tokenizers.path("byte_bpe_50k.tiktoken"))}
+    got = {x.doc_id: x for x in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, others=others, keep=("doc_id", "lang")).collect()}
     pieces = sentencepiece.SentencePieceProcessor(model_file=model)
     encoders = {"": (pieces.encode, lambda i: pieces.is_byte(i) and pieces.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>"))}
-    for name, path in other_vocabularies().items():
+    for name, path in others.items():
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         token = {b: a for a, b in ranks.items()}
 
