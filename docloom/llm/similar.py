@@ -273,26 +273,26 @@ _WIDE = 1 << 24
 
 
 def levels(crowd: DataFrame, key: str, values: DataFrame, value: str, level: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
-    """(key, uid, level) of the rows ``crowd`` (key, uid, parts): ``level(least set's value, values)`` against the set of least uid.
+    """(key, uid, level, least) of the rows ``crowd`` (key, uid, parts): ``level(least set's value, values)`` against the set of least uid.
 
     The least set is sent to each of ``parts`` shares of its group, so no task has a whole group.
     """
     least = staged(crowd.groupBy(key).agg(F.min("uid").alias("uid"), F.max("parts").alias("parts")), "near-least")
-    theirs = values.join(least.hint("merge"), "uid").select(key, F.col(value).alias("least"), F.explode(F.expr("sequence(0, cast(parts as int) - 1)")).alias("share"))
+    theirs = values.join(least.hint("merge"), "uid").select(key, F.col("uid").alias("first"), F.col(value).alias("least"), F.explode(F.expr("sequence(0, cast(parts as int) - 1)")).alias("share"))
     rows = met(values.select("uid", value), crowd, "uid").withColumn("share", F.pmod(F.xxhash64("uid", F.lit(9)), F.col("parts")).cast("int"))
 
     def run(batches):
         for batch in batches:
-            by, uid, least, value_ = (batch.column(c) for c in range(4))
+            by, uid, least, value_, first = (batch.column(c) for c in range(5))
             by, least, value_ = by.to_numpy(), least.to_pylist(), value_.to_pylist()
             out = np.zeros(len(by), np.int32)
             bounds = np.flatnonzero(np.r_[True, by[1:] != by[:-1], True])
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 out[lo:hi] = level(least[lo], value_[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(by), uid, pa.array(out)], names=[key, "uid", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(by), uid, pa.array(out), first], names=[key, "uid", "level", "least"])
 
-    joined = rows.join(theirs.hint("merge"), [key, "share"]).select(key, "uid", "least", value)
-    return staged(joined.mapInArrow(run, f"{key} long, uid long, level int"), "near-levels")
+    joined = rows.join(theirs.hint("merge"), [key, "share"]).select(key, "uid", "least", value, "first")
+    return staged(joined.mapInArrow(run, f"{key} long, uid long, level int, least long"), "near-levels")
 
 
 def dealt(rows: DataFrame, key: str, most: int, limit: int, seed: int) -> DataFrame:
@@ -365,10 +365,10 @@ def components(ties: DataFrame, label: str) -> DataFrame:
         # large star: larger neighbours go to the least; a node without smaller neighbours is the least itself
         low = staged(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m")), f"{label}-low")
         large = edges.join(low.hint("merge"), F.col("a") == F.col("v"), "left").select(F.coalesce("m", "a").alias("a"), "b")
-        large = staged(large.distinct(), f"{label}-large")
-        # small star: a node and its smaller neighbours go to the least of these
-        least = staged(large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m")), f"{label}-low")
-        small = large.join(least.hint("merge"), F.col("b") == F.col("v")).select("a", "b", "m")
+        large = large.distinct()
+        # small star: a node and its smaller neighbours, few by now, go to the least of these
+        least = large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))
+        small = large.join(least, F.col("b") == F.col("v")).select("a", "b", "m")
         turned = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
         edges = staged(turned, f"{label}-ties")
         now = edges.agg(mark).first()
@@ -414,8 +414,7 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
     if crowd.take(1):
         level = levels(crowd, "key", sigs, "sig", agreeing(similar))
         apart_ = dealt(level.withColumn("words", F.lit(0)), "key", bucket, 0, 1).join(sigs.hint("merge"), "uid")
-        least = staged(level.groupBy("key").agg(F.min("uid").alias("a")), f"{label}-least")
-        near = level.where("level = 0").join(least.hint("merge"), "key").select("a", F.col("uid").alias("b"))
+        near = level.where("level = 0").select(F.col("least").alias("a"), F.col("uid").alias("b"))
         ties = ties.union(tie_alike(apart_.select("group", "uid", "sig"), similar)).union(near)
     groups = staged(components(ties, label), f"{label}-groups")
     # blocks are bounded in sets and in words
