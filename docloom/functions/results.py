@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import SCORED
 from . import text as X
 
 ANSWER_KEYS = ("raw_block", "response", "text", "message", "content", "answer")
@@ -118,6 +119,23 @@ def scored(text: Column | str, schema) -> Column:
     return F.when(good, parsed).otherwise(fallback)
 
 
-def valid_score(result: Column) -> Column:
-    """Whether a result holds what its schema asks for: a score of 1 to 100, and lists."""
-    return F.coalesce(result["score"].between(1, 100) & result["critical_errors"].isNotNull() & result["recommendations"].isNotNull() & result["disclaimer"].isNotNull(), F.lit(False))
+def valid_score(result: Column, schema=SCORED) -> Column:
+    """Whether a result holds all that its schema asks for: a score of 1 to 100, all subscores of 0 to 100, lists, and in each entry all fields but its citations, which are whole where given."""
+
+    def whole(kind, v: Column, name: str) -> Column:
+        if kind.typeName() == "array":
+            inside = F.coalesce(F.forall(v, lambda x: whole(kind.elementType, x, "")), F.lit(True))
+            return inside if name == "citations" else v.isNotNull() & inside
+        if kind.typeName() == "struct":
+            out = v.isNotNull()
+            for field in kind.fields:
+                out = out & whole(field.dataType, v[field.name], field.name)
+            return out
+        return v.isNotNull()
+
+    checks = result.isNotNull() & result["score"].between(1, 100)
+    for field in schema.fields:
+        checks = checks & (result[field.name].isNotNull() if field.dataType.typeName() == "array" else F.lit(True)) & whole(field.dataType, result[field.name], field.name)
+    for field in schema["subscores"].dataType.fields:
+        checks = checks & result["subscores"][field.name].between(0, 100)
+    return F.coalesce(checks, F.lit(False))

@@ -208,6 +208,17 @@ def reranked(rows: DataFrame, similarity: Column, top: int, *, place: str = "pla
     return rows.withColumn("place_after", F.row_number().over(order))
 
 
+def displayed(docs: DataFrame, words: DataFrame, points: DataFrame, *, payload: str = "payload") -> DataFrame:
+    """Fused documents (query_id, doc_id) with the page of their best keyword hit and the payload of their last vector hit.
+
+    words: query_id, doc_id, page, rank; points: query_id, doc_id, rank and ``payload``.  Null where a run lacks the document.
+    """
+    keys = ["query_id", "doc_id"]
+    first = words.groupBy(*keys).agg(F.min(F.struct("rank", "page")).alias("w")).select(*keys, F.col("w.page").alias("page"))
+    last = points.groupBy(*keys).agg(F.max(F.struct("rank", F.col(payload).alias("v"))).alias("p")).select(*keys, F.col("p.v").alias(payload))
+    return docs.join(first, keys, "left").join(last, keys, "left")
+
+
 def hit_attributes(hits: DataFrame, meta: DataFrame, *, raw: str = "raw") -> DataFrame:
     """doc_id and page of hits: from the chunk table, else from the stored JSON, else from the id's form."""
     from ..functions import ids

@@ -65,10 +65,20 @@ def reindex_stored(docs: DataFrame, folder: str, p: Params = Params(), *, full:
     return counts
 
 
-def hybrid(index: Index, queries: DataFrame, p: Params = Params()) -> DataFrame:
+def _with_page_text(rows: DataFrame, page_rows: DataFrame, p: Params) -> DataFrame:
+    """``rows`` without text get that of their pages; their spans are looked up once each."""
+    span = F.struct("doc_id", "page_start", "page_end")
+    blank = X.strip("text") == ""
+    asked = rows.where(blank).select(span.alias("span_id"), "doc_id", "page_start", "page_end").distinct()
+    found = pages.page_range_text(asked, page_rows, p.snippet_chars).withColumnRenamed("text", "__t")
+    return rows.withColumn("span_id", span).join(found, "span_id", "left").withColumn("text", F.when(blank, F.coalesce("__t", F.lit(""))).otherwise(F.col("text"))).drop("span_id", "__t")
+
+
+def hybrid(index: Index, queries: DataFrame, p: Params = Params(), *, page_rows: DataFrame | None = None) -> DataFrame:
     """query_id, place, doc_id, page_start, page_end, text, chunk_id, fused.
 
     queries: query_id, text, and vector if the index has points (chunk_id, doc_id, page_start, page_end, chunk_text, vector).
+    Candidates without text take that of their pages in ``page_rows`` (doc_id, page, text), if it is given.
     """
     depth = max(8 * p.k, p.depth)
     words = search.keyword_top(index.keyword, queries, depth, p)
@@ -80,6 +90,8 @@ def hybrid(index: Index, queries: DataFrame, p: Params = Params()) -> DataFrame:
         runs, tables = [dense, words], [by_vector, by_word]
     pool = search.candidates(*tables)
     rows = search.fuse(runs, p, depth=p.rrf_depth).join(pool, ["query_id", "chunk_id"])
+    if page_rows is not None:
+        rows = _with_page_text(rows, page_rows, p)
     items = search.capped(rows.withColumn("text", F.substring("text", 1, p.snippet_chars)), p.per_doc, p.k)
     if p.rerank and index.points is not None:
         vectors = index.points.select("chunk_id", F.col("vector").alias("__v"))

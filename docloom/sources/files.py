@@ -36,6 +36,27 @@ def text_of(content: F.Column, charset: str = "UTF-8") -> F.Column:
     return F.replace(F.decode(content, charset) if charset != "UTF-8" else F.call_function("make_valid_utf8", content.cast("string")), F.lit("�"), F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def detected_text(content: pd.Series) -> pd.Series:
+    """Bytes as text by their mark, else UTF-8 if they are that, else the Cyrillic charset that gives most small letters."""
+
+    def small(text: str) -> int:
+        return sum("а" <= c <= "я" or c == "ё" for c in text)
+
+    def read(data) -> str:
+        if data is None:
+            return ""
+        for mark, charset in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+            if data.startswith(mark):
+                return data.decode(charset, "ignore")
+        try:
+            return data.decode("utf-8")
+        except UnicodeDecodeError:
+            return max((data.decode(c, "ignore") for c in ("cp1251", "koi8-r", "cp866")), key=small)
+
+    return content.map(read)
+
+
 @F.pandas_udf(T.StringType())
 def docx_text(content: pd.Series) -> pd.Series:
     """Paragraphs of a DOCX file that have text, then rows of its tables with cells by ' | '."""
@@ -219,6 +240,16 @@ def save_table(df: DataFrame, name: str, *, recreate: bool = False) -> None:
     df.write.mode("overwrite" if recreate else "append").saveAsTable(name)
 
 
+def collections(spark: SparkSession, database: str | None = None) -> list[str]:
+    """Names of the tables of points, in order."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+
+
+def sample_points(points: DataFrame, n: int = 10) -> DataFrame:
+    """Document and pages of any ``n`` points."""
+    return points.select("doc_id", "page_start", "page_end").limit(n)
+
+
 def write_results(results: DataFrame, path: str, *, mode: str = "append") -> None:
     """Results as JSON, one file row each; ``report`` of operators.context gives the text beside it."""
     results.write.mode(mode).json(path)
