@@ -92,3 +92,16 @@ def service_url(url: str | None, default: str) -> str:
     while text.startswith(("http://http://", "https://https://", "http://https://", "https://http://")):
         text = text.partition("://")[2]
     return text if "://" in text else f"http://{text.lstrip('/')}"
+
+
+# fixed values: settings of a running service by model
+PRESETS = {
+    "llama3.1:8b": {"num_ctx": 4096, "max_tokens": 600, "timeout_s": 150, "temperature": 0.2, "top_p": 0.95, "repeat_penalty": 1.05, "gpu_layers": -1, "keep_alive": "30m"},
+    "llama3.1:70b": {"num_ctx": 8192, "max_tokens": 600, "timeout_s": 180, "temperature": 0.2, "top_p": 0.95, "repeat_penalty": 1.05, "gpu_layers": -1, "keep_alive": "30m"},
+    "deepseek-r1:32b": {"num_ctx": 12288, "max_tokens": 1800, "timeout_s": 180, "temperature": 0.3, "top_p": 0.90, "repeat_penalty": 1.05, "gpu_layers": -1, "keep_alive": "60m"},
+}
+
+
+def preset(model: str, presets: dict | None = None) -> dict:
+    """A copy of a model's settings, empty for a model that has none; ``presets`` replaces the fixed ones as a whole."""
+    return dict((PRESETS if presets is None else presets).get(model, {}))

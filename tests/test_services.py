@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from docloom.functions import results
 from docloom.operators import search
-from docloom.params import Params
+from docloom.params import Params, preset
 from docloom.plans import retrieval
 from docloom.schemas import SCORED
 from docloom.sources import files
@@ -122,3 +122,9 @@ def test_text_of_pages(spark):
     assert {r.chunk_id for r in retrieval.hybrid(index, asked).collect()} == {"p2"}
     got = {r.chunk_id: r.text for r in retrieval.hybrid(index, asked, page_rows=pages).collect()}
     assert got == {"p1": "alpha beta\n\ngamma", "p2": "told"}
+
+
+def test_presets():
+    assert preset("llama3.1:8b")["num_ctx"] == 4096 and preset("unknown") == {} and preset("a", {"a": {"k": 1}}) == {"k": 1}
+    preset("llama3.1:8b").clear()
+    assert preset("llama3.1:8b")
