@@ -56,6 +56,19 @@ def test_encoding(steps):
         assert r.ids == b"".join(i.to_bytes(4, "little") for i in library.encode(r.text, add_bos=True, add_eos=True))
 
 
+def test_decoding(spark, odd):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    plain = spark.createDataFrame([(90, "  two  spaces ▁ and\ta\nline é 漢 🙂 ", "en", "a", 30)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = cp.sentencepiece(spark, odd.select(*cp.COLUMNS).unionByName(plain), SF).collect()
+    assert len(rows) == odd.count() + 1 and any(r.decoded not in ("", r.text) for r in rows)
+    for r in rows:
+        ids = library.encode(r.text or "", add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.decoded == library.decode(ids)
+
+
 def test_odd(spark, odd, none):
     for name, stage in cp.STAGES:
         assert stage(spark, none, SF).count() == 0, name
