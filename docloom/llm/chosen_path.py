@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHINGLE, SIMILAR, sliced, staged, texts
+from .common import SHINGLE, SIMILAR, sliced, staged, texts, tidy
 from .similar import FEATURES, Rows, U, digest, mixed, packed, resolve, shingles, signature, stream
 
 #: Sets pick 1 / BRANCH tokens each on average.
@@ -60,6 +60,7 @@ def deeper(s: np.ndarray, key: int, level: int) -> np.ndarray:
 def features(docs: DataFrame, id: str, text: str, runs: int, shingle: int = SHINGLE) -> DataFrame:
     seeds = stream(7, runs)
 
+    @tidy()
     def run(batches):
         rows = Rows()
         for batch in sliced(batches):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +88,52 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What functions with ``remembered`` keep in this process.
+_REMEMBERED: list = []
+
+
+def remembered(most: int) -> Callable:
+    """``lru_cache`` for what a Python worker keeps from task to task; ``tidy`` empties it."""
+
+    def wrap(make):
+        made = lru_cache(maxsize=most)(make)
+        _REMEMBERED.append(made)
+        return made
+
+    return wrap
+
+
+def only(*keep) -> None:
+    """Drop what ``remembered`` functions keep, but for that of ``keep``."""
+    for made in _REMEMBERED:
+        if made not in keep:
+            made.cache_clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(*keep) -> Callable:
+    """For functions of mapInArrow.  Python workers outlive tasks and stages, and all of an executor's share its memory
+    with the JVM: one starts without the tables of other operators (``keep``: those of its own) and ends without free memory."""
+
+    def wrap(run):
+        def whole(batches):
+            only(*keep)
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return whole
+
+    return wrap
+
+
 def sliced(batches, rows: int = 512):
     """Arrow batches in slices of a few hundred rows, so that only a few hundred texts are Python objects at once."""
     for batch in batches:

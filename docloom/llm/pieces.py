@@ -13,14 +13,15 @@ merge, so a text falls into independent segments; finished segments are remember
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import sentencepiece
 
+from .common import remembered
+
 MARK = "▁"
 #: Words remembered by each Python worker before the memory is emptied, and bits of the memory of token pairs.
-REMEMBER, PAIR_BITS = 350_000, 21
+REMEMBER, PAIR_BITS = 120_000, 21
 #: In a prefix table: a character that joins nothing.
 OTHER = -2
 
@@ -146,7 +147,7 @@ class PieceTable:
         while at < len(order):
             longest = max(8, len(segments[order[at]]) * 5 // 4)
             end = at
-            while end < len(order) and end - at < 50_000 and len(segments[order[end]]) <= longest and (end - at) * longest < 2_000_000 or end == at:
+            while end < len(order) and end - at < 50_000 and len(segments[order[end]]) <= longest and (end - at) * longest < 500_000 or end == at:
                 end += 1
             part = order[at:end]
             for k, ids in zip(part, self._encode_alike([segments[k] for k in part])):
@@ -309,7 +310,7 @@ def utf8(run: bytes) -> str:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def table(model_file: str) -> PieceTable:
     """One table for each model and Python worker."""
     return PieceTable(model_file)

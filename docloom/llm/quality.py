@@ -7,7 +7,6 @@ entropy of the tokens, and has rejection bands for each language, or script wher
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, texts
+from .common import remembered, sliced, texts, tidy
 
 SYMBOLS = "#*$%&|<>"
 
@@ -48,7 +47,7 @@ class Vocabulary:
             self.ids = lambda texts: [np.array(own.encode_ordinary(x), np.int64) for x in texts]
 
 
-@lru_cache(maxsize=8)
+@remembered(8)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -132,6 +131,7 @@ def measure(docs: DataFrame, model_file: str, *, text: str = "text", keep: tuple
     own = measures(tuple(others))
     kinds = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()] for f in own]
 
+    @tidy(vocabulary)
     def run(batches):
         known = [vocabulary(path) for path in (model_file, *others.values())]
         for batch in sliced(batches, 64):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import sliced, texts
+from .common import sliced, texts, tidy
 from .pieces import table
 
 CODEC = T.StructType(
@@ -29,10 +29,11 @@ def encode_decode(docs: DataFrame, model_file: str, *, text: str = "text", keep:
     """
     fields = [docs.schema[c] for c in keep]
 
+    @tidy(table)
     def run(batches):
         pieces = table(model_file)
         begin, end = (np.array([i], "<u4").tobytes() if bounds else b"" for i in (pieces.bos, pieces.eos))
-        for batch in sliced(batches):
+        for batch in sliced(batches, 128):
             ids = [begin + x + end for x in pieces.encode_all(texts(batch, text))]
             decoded = [pieces.decode(np.frombuffer(x, "<u4")) for x in ids] if decode else [""] * len(ids)
             yield pa.RecordBatch.from_arrays(

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHINGLE, SIMILAR, staged
+from .common import SHINGLE, SIMILAR, staged, tidy
 from .words import mixed
 
 U = np.uint64
@@ -168,6 +168,7 @@ def tie_alike(rows: DataFrame, similar: float) -> DataFrame:
     """Ties (a, b) between sets of one group that may be similar by their signatures; rows: group, uid, sig."""
     least = least_signature_matches(similar)
 
+    @tidy()
     def run(batches):
         for t in grouped(batches, ["group", "uid", "sig"], "group"):
             group, uid, sig = t.column("group").to_numpy(), t.column("uid").to_numpy(), _matrix(t.column("sig"), SIGNATURE)
@@ -236,6 +237,7 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
     """
     num, den = as_ratio(similar)
 
+    @tidy()
     def run(batches):
         for t in grouped(batches, ["group", "uid", "copies", "set", "block", "i", "j"], "group"):
             group, uid, copies = (t.column(c).to_numpy() for c in ("group", "uid", "copies"))
@@ -281,6 +283,7 @@ def levels(crowd: DataFrame, key: str, values: DataFrame, value: str, level: Cal
     theirs = values.join(least.hint("merge"), "uid").select(key, F.col("uid").alias("first"), F.col(value).alias("least"), F.explode(F.expr("sequence(0, cast(parts as int) - 1)")).alias("share"))
     rows = met(values.select("uid", value), crowd, "uid").withColumn("share", F.pmod(F.xxhash64("uid", F.lit(9)), F.col("parts")).cast("int"))
 
+    @tidy()
     def run(batches):
         for batch in batches:
             by, uid, least, value_, first = (batch.column(c) for c in range(5))
@@ -442,6 +445,7 @@ def resolve(features: DataFrame, *, similar: float = SIMILAR, split: Split | Non
 
 
 def _split(crowded: DataFrame, sets: DataFrame, split: Split, level: int) -> DataFrame:
+    @tidy()
     def run(batches):
         for batch in batches:
             keys = batch.column("key").to_numpy()
