@@ -247,6 +247,43 @@ def test_stored_index(spark, tmp_path):
     assert kept.postings.count() < store.read_index(spark, folder).postings.count()
 
 
+def test_stored_index_disk(spark, tmp_path, monkeypatch):
+    """A change of one document writes little beside a large index, and a posting takes few bytes; odd documents and many small segments give what a new index would."""
+    from docloom.operators import postings
+    from docloom.sources import index as store
+
+    size = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    text = lambda k: " ".join(f"word{(k * k + i * i * 7) % 997}" for i in range(150))
+    rows = [(f"a long id of a chunk {k}", f"a long id of a document {k // 2}", text(k)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string").coalesce(1)
+    store.write_index(df, f"file://{tmp_path}/large")
+    before, n = size(tmp_path / "large"), sum(len(set(t.split())) for _, _, t in rows)
+    assert before < 5 * n
+    store.upsert_index(df.limit(2), f"file://{tmp_path}/large")
+    assert size(tmp_path / "large") < 1.2 * before
+
+    monkeypatch.setattr(postings, "SEGMENT", 3)
+    odd = [("e1", "e", ""), ("e2", "e", None), ("n1", None, "word1 word5"), ("u1", "u", "Ünïcode слово word5 слово"), *rows[:20]]
+    df = spark.createDataFrame(odd, df.schema)
+    folder = f"file://{tmp_path}/odd"
+    store.write_index(df.limit(0), folder)
+    store.upsert_index(df, folder)
+    new = spark.createDataFrame([("u2", "u", "слово"), (odd[4][0], odd[4][1], "word5 again")], df.schema)
+    store.upsert_index(new, folder, gone=spark.createDataFrame([(odd[7][1],), ("e",), (None,)], "doc_id string"))
+    store.upsert_index(new, folder, gone=spark.createDataFrame([(odd[9][1],), ("nothing",)], "doc_id string"))
+    out = {"u", "e", odd[4][1], odd[7][1], odd[9][1]}
+    now = spark.createDataFrame([r for r in odd if r[1] not in out], df.schema).unionByName(new)
+    asked = spark.createDataFrame([(1, "word5 слово ünïcode"), (2, "nothing"), (3, " ".join(f"word{k}" for k in range(300))), (4, None)], "query_id long, text string")
+    kept, fresh = store.read_index(spark, folder, asked), search.keyword_index(now)
+    assert kept.totals.first() == fresh.totals.first()
+    for lot, block in ((256, 1024), (1, 2)):
+        got = sorted(search.keyword_top(kept, asked, 5, lot=lot, block=block).collect())
+        assert got and got == sorted(search.keyword_top(fresh, asked, 5).collect())
+    whole = store.read_index(spark, folder)
+    assert sorted(whole.df.collect()) == sorted(fresh.df.collect())
+    assert sorted(whole.postings.collect()) == sorted(fresh.postings.select("term", "chunk_id", "tf", "dl").collect())
+
+
 def test_reindex_stored(spark, tmp_path):
     from docloom.plans import retrieval as plans
 
