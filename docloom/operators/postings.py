@@ -7,6 +7,8 @@ segment (at) and the term's counts there (tf).  A row of bucket ``GONE`` has the
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from zlib import crc32
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Packed rows that are filtered at once.
+LOT = 256
 #: Buckets of terms, chunks of a segment at most, and the buckets of rows that hold no terms.
 BUCKETS, SEGMENT, CHUNKS, GONE = 64, 1024, -1, -2
 
@@ -25,6 +29,20 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
+def returning(run):
+    """``run`` of a task, at whose end the Python worker, which outlives it, gives freed memory back."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return whole
+
+
 def _starts(keys: np.ndarray) -> np.ndarray:
     """Where a new key begins; keys are sorted and not negative."""
     return np.flatnonzero(np.diff(keys, prepend=-1))
@@ -41,9 +59,7 @@ def packed(split: DataFrame, name: str, size: int | None = None) -> DataFrame:
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, 4 * size) for b in batches for k in range(0, b.num_rows, 4 * size)):
             dl = np.asarray(pc.list_value_length(batch.column("t")).fill_null(0)).astype(np.int64)
             coded = batch.column("t").flatten().dictionary_encode()
             # words stand by bucket, so sorted postings of a segment do, too
@@ -67,7 +83,7 @@ def packed(split: DataFrame, name: str, size: int | None = None) -> DataFrame:
             for some in (held, terms):
                 yield pa.RecordBatch.from_arrays([some[c] if c in some else pa.nulls(len(some["segment"]), kind[c]) for c in schema.names], names=schema.names)
 
-    return split.select("chunk_id", "doc_id", "t").mapInArrow(run, schema)
+    return split.select("chunk_id", "doc_id", "t").mapInArrow(returning(run), schema)
 
 
 def segments(rows: pa.StructArray):
@@ -84,6 +100,33 @@ def segments(rows: pa.StructArray):
         yield ids, np.asarray(part("dl", held)), terms, code[kept], at[kept], tf[kept]
 
 
+def asked_only(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Packed rows without terms that are not in ``terms`` (term, distinct), so nothing else is shuffled; buckets' terms go to all tasks."""
+    lists = terms.groupBy(bucket(F.col("term")).alias("bucket")).agg(F.collect_list("term").alias("asked"))
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, LOT):
+                some = batch.slice(start, LOT)
+                column = dict(zip(names, some.columns))
+                owner = lambda c: np.repeat(np.arange(some.num_rows), np.asarray(pc.list_value_length(some.column(c)).fill_null(0)))
+                terms_, n, row = column["term"].flatten(), np.asarray(column["n"].flatten()), owner("term")
+                # a term is in one bucket, so it may be looked for among those of all rows
+                held = np.asarray(pc.is_in(terms_, some.column("asked").flatten().unique()))
+                post = np.repeat(held, n)
+                has = column["term"].is_valid()
+
+                def cut(c, keep, of):
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=some.num_rows))])
+                    return pc.if_else(has, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column[c].flatten().filter(pa.array(keep))), pa.scalar(None, column[c].type))
+
+                column |= {"term": cut("term", held, row), "n": cut("n", held, row), "at": cut("at", post, owner("at")), "tf": cut("tf", post, owner("tf"))}
+                yield pa.RecordBatch.from_arrays(list(column.values()), names=names)
+
+    return rows.join(F.broadcast(lists), "bucket", "left").select(*names, "asked").mapInArrow(returning(run), rows.schema)
+
+
 def listed(rows: DataFrame, key: Column) -> DataFrame:
     """Packed rows as one list, ``rows``, for each key: __b."""
     return rows.groupBy(key.alias("__b")).agg(F.collect_list(F.struct("segment", "bucket", "chunk_id", "dl", "term", "n", "at", "tf")).alias("rows"))
@@ -98,7 +141,7 @@ def _each(lists: DataFrame, make, schema: T.StructType) -> DataFrame:
                 for segment in segments(rows.values):
                     yield pa.RecordBatch.from_arrays(make(*segment), names=names)
 
-    return lists.select("rows").mapInArrow(run, schema)
+    return lists.select("rows").mapInArrow(returning(run), schema)
 
 
 def flat(lists: DataFrame) -> DataFrame:

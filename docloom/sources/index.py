@@ -77,16 +77,19 @@ def upsert_index(chunks: DataFrame, folder: str, gone: DataFrame | None = None)
 
 
 def read_index(spark: SparkSession, folder: str, queries: DataFrame | None = None, *, text: str = "text") -> search.KeywordIndex:
-    """The stored index; with ``queries``, only the buckets of their terms are read (at most BUCKETS numbers come to the driver)."""
+    """The stored index; with ``queries``, that of their terms, whose buckets only are read (at most BUCKETS numbers come to the driver)."""
     now = _current(spark, folder)
     parts, gone = _parts(spark, folder, now["parts"]), _gone(spark, folder, now)
     held = parts.where(F.col("bucket") == postings.CHUNKS).select(F.size("dl").cast("long").alias("n"), F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x).alias("dl"))
     sums = held.unionByName(gone.select(F.lit(-1).cast("long").alias("n"), (-F.col("dl")).alias("dl")))
     totals = sums.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), F.try_divide(F.sum("dl"), F.sum("n")).alias("avgdl"))
     if queries is not None:
-        some = [r[0] for r in queries.select(F.explode(X.terms(text)).alias("term")).select(postings.bucket(F.col("term"))).distinct().collect()]
-        parts = parts.where(F.col("bucket").isin(postings.CHUNKS, *some))
+        asked = queries.select(F.explode(X.terms(text)).alias("term")).distinct()
+        some = [r[0] for r in asked.select(postings.bucket(F.col("term"))).distinct().collect()]
+        parts = postings.asked_only(parts.where(F.col("bucket").isin(postings.CHUNKS, *some)).drop("doc_id"), asked)
+    else:
+        parts = parts.drop("doc_id")
     lost = gone.groupBy("segment").agg(F.collect_list("at").alias("at")).withColumn("bucket", F.lit(postings.GONE))
-    rows = parts.drop("doc_id").unionByName(lost, allowMissingColumns=True)
+    rows = parts.unionByName(lost, allowMissingColumns=True)
     flat = postings.flat(postings.listed(rows, F.col("segment")))
     return search.KeywordIndex(flat, totals, flat.groupBy("term").agg(F.count(F.lit(1)).alias("df")), rows)

@@ -279,6 +279,8 @@ def test_stored_index_disk(spark, tmp_path, monkeypatch):
     for lot, block in ((256, 1024), (1, 2)):
         got = sorted(search.keyword_top(kept, asked, 5, lot=lot, block=block).collect())
         assert got and got == sorted(search.keyword_top(fresh, asked, 5).collect())
+    # what no query asks for doesn't leave the task that reads it
+    assert {r.term for r in kept.df.collect()} == {r.term for r in fresh.df.collect()} & ({"слово", "ünïcode", "nothing"} | {f"word{k}" for k in range(300)})
     whole = store.read_index(spark, folder)
     assert sorted(whole.df.collect()) == sorted(fresh.df.collect())
     assert sorted(whole.postings.collect()) == sorted(fresh.postings.select("term", "chunk_id", "tf", "dl").collect())
